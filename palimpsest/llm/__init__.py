@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("simhash", "quality")
+MODULES = ("simhash", "quality", "mix", "packing")
 
 
 def queries() -> dict:
