@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("simhash", "quality", "mix", "packing")
+MODULES = ("simhash", "quality", "mix", "packing", "pii")
 
 
 def queries() -> dict:
