@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("simhash", "quality", "mix", "packing", "pii")
+MODULES = ("simhash", "quality", "mix", "packing", "pii", "html_text", "licenses", "media")
 
 
 def queries() -> dict:
