@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("simhash", "quality", "mix", "packing", "pii", "html_text", "licenses", "media")
+MODULES = ("simhash", "licenses", "langid", "mix", "html_text", "pii", "quality", "toxicity", "media", "packing")
 
 
 def queries() -> dict:
