@@ -107,9 +107,9 @@ def mixed(docs: DataFrame) -> DataFrame:
     slim = cut(measured(docs).select("doc_id", "source", "size", "key_"), "sizes")
     sources = cut(plan(slim), "sources")
     wide = docs.select(F.struct(*docs.columns).alias("row_"), "doc_id", "source", "text")
-    got = taken(measured(wide), sources).where("taken > 0")
+    got = taken(measured(wide), sources)
     copies = F.col("epochs") + (F.col("part") > 0).cast("long")
-    got = got.where(F.col("size") > 0).withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    got = got.withColumn("copy_", F.explode_outer(F.when((copies > 0) & (F.col("size") > 0), F.sequence(F.lit(1).cast("long"), copies)))).where("copy_ is not null")
     cut_ = (F.col("copy_") > F.col("epochs")) & (F.col("part") < F.col("size"))
     head = F.array_join(F.slice(F.filter(F.split("text", "[ \\t-\\r]+"), lambda w: w != ""), 1, F.greatest(F.col("part"), F.lit(1)).cast("int")), " ")
     text = F.when(cut_, head).otherwise(F.col("text"))

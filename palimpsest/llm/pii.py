@@ -133,7 +133,8 @@ def classifier(found: DataFrame) -> list[float]:
 
     Weights: bias, then a vote of 1 and of 0 of each voter, then each kind, then each shape.
     """
-    spans = found.where((F.size("base_") > 0) | (F.size("more_") > 0)).select(F.explode(F.concat("base_", "more_")).alias("x")).select("x.kind", "x.votes", "x.shape")
+    # outer, then filtered: for a plain explode Spark would test the array's size in a filter below, which repeats all expressions
+    spans = found.select(F.explode_outer(F.concat("base_", "more_")).alias("x")).where("x is not null").select("x.kind", "x.votes", "x.shape")
     got = sorted((tuple(r["votes"]), r["kind"], r["shape"], r["count"]) for r in spans.groupBy("votes", "kind", "shape").count().collect())
     model = weak.fit([(v, n) for v, _, _, n in got], N_VOTERS)
     total = sum(n for *_, n in got) or 1

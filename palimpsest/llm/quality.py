@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..staging import cut
 from ..tables import table
 from . import weak
+from .barrier import held
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -108,7 +109,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     slim = features(docs.select(F.col("text").alias("text_")), "text_")
     model = fit(slim.drop("text_"))
     wide = docs.select(F.struct(*docs.columns).alias("row_"), F.col("text").alias("text_"))
-    return judged(features(wide, "text_"), model).where("kept").select("row_.*")
+    return held(judged(features(wide, "text_"), model), F.col("kept")).select("row_.*")
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

@@ -193,7 +193,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     top = -(2**63)
     found = near_duplicates(docs).withColumn("id_", F.coalesce("doc_id", F.lit(top)))
     chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min_by("id_", "fp").alias("id_"), F.min("fp").alias("fp_"))
-    marked = docs.withColumns({"id_": F.coalesce("doc_id", F.lit(top)), "fp_": fingerprint_udf("text")})
+    marked = docs.withColumns({"id_": F.coalesce("doc_id", F.lit(top)), "fp_": fingerprint_udf.asNondeterministic()("text")})  # else the join would have the UDF run for a filter too
     one = Window.partitionBy("id_", "fp_").orderBy(*(F.col(c) for c in docs.columns if c != "doc_id"))
     return marked.join(chosen.select("id_", "fp_"), ["id_", "fp_"], "left_semi").withColumn("nth_", F.row_number().over(one)).where("nth_ = 1").select(*docs.columns)
 
