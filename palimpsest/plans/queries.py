@@ -1,4 +1,8 @@
-"""Queries over the driver's tables, with the SQL that must give the same rows."""
+"""Queries over the driver's tables, with the SQL that must give the same rows.
+
+``events`` serves as the change log: transaction = event_id + 1, page = user_id + 1, a purchase commits. The file catalog has a
+file a day (level 0), a week (level 1) and one snapshot (level 9).
+"""
 
 from __future__ import annotations
 
@@ -7,29 +11,237 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import versions
+from ..functions import columns as C
+from ..operators import frames, retention, tiers, versions
 from ..tables import table
+from . import restore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+_CAT = """cat as (
+ select 0 as level, min(event_id)+1 as min_txid, max(event_id)+1 as max_txid, max(ts) as created_at from events group by cast(ts as date)
+ union all select 1, min(event_id)+1, max(event_id)+1, max(ts) from events where ts < timestamp '2024-01-22' group by floor((day(ts)-1)/7)
+ union all select 9, 1, max(event_id)+1, max(ts) from events where ts < timestamp '2024-01-15')"""
 
 
-def query(sql: str | None = None):
+def query(sql: str):
     def register(f):
         QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
+        ORACLE_SQL[f.__name__] = sql
         return f
 
     return register
 
 
-def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as a change log: one transaction a row."""
-    return table(spark, sf_dir, "events").select("user_id", (F.col("event_id") + 1).alias("txid"), "value", "ts")
+def ntz(text: str):
+    return F.to_timestamp_ntz(F.lit(text))
+
+
+def log(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("txid"), "value", "ts", *extra)
+
+
+def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a file; the log is pre-aggregated on each task."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts")
+
+    def files(level: int, df: DataFrame, *by) -> DataFrame:
+        low = F.lit(1).cast("long") if level == 9 else F.min("event_id") + 1
+        return df.groupBy(*by).agg(low.alias("min_txid"), (F.max("event_id") + 1).alias("max_txid"), F.max("ts").alias("created_at")).select(F.lit(level).alias("level"), "min_txid", "max_txid", "created_at")
+
+    days = files(0, e, F.to_date("ts").alias("d"))
+    weeks = files(1, e.where(F.col("ts") < ntz("2024-01-22 00:00:00")), F.floor((F.dayofmonth("ts") - 1) / 7).alias("w"))
+    return days.unionByName(weeks).unionByName(files(9, e.where(F.col("ts") < ntz("2024-01-15 00:00:00"))).where("max_txid is not null"))
+
+
+@query("""with lc as (select max(event_id) as last_commit, max_by(40 + event_id % 100, event_id) as commit_sz from events where event_type='purchase')
+select user_id+1 as pgno, max(event_id) as frame_no, max_by(value,event_id) as data from events, lc where event_id <= last_commit and user_id+1 <= commit_sz group by user_id""")
+def page_map(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select((F.col("user_id") + 1).alias("pgno"), F.col("event_id").alias("frame_no"), F.col("value").alias("data"), F.when(F.col("event_type") == "purchase", 40 + F.col("event_id") % 100).otherwise(0).alias("commit"))
+    return frames.page_map(e, ok=F.lit(True))
 
 
-@query("select user_id, max(event_id) as txid, max_by(value, event_id) as value from events where event_id + 1 <= 5000 group by user_id")
+@query("""with b as (select min(event_id) as bad from events where value > 400), lc as (select max(event_id) as m from events, b where event_type='purchase' and (bad is null or event_id < bad))
+select event_id, user_id from events, lc where event_id <= m""")
+def valid_prefix(spark, sf_dir):
+    """Frames before the first that fails its check, up to the last commit."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", (F.col("event_type") == "purchase").cast("int").alias("commit"), (F.col("value") <= 400).alias("ok"))
+    return frames.committed(e, "event_id").select("event_id", "user_id")
+
+
+@query("select user_id, max(event_id) as txid, max_by(value,event_id) as value from events where event_id+1 <= 5000 group by user_id")
 def asof_txid(spark, sf_dir):
-    """txid is event_id here, as in the log's own numbering from zero."""
-    return versions.as_of_txid(changes(spark, sf_dir), ["user_id"], 5000).select("user_id", (F.col("txid") - 1).alias("txid"), "value")
+    return versions.as_of_txid(log(spark, sf_dir), ["user_id"], 4999).select("user_id", "txid", "value")
+
+
+@query("select user_id, max(event_id) as txid, max_by(value,event_id) as value from events where ts <= timestamp '2024-01-10 12:00:00' group by user_id")
+def asof_ts(spark, sf_dir):
+    return versions.as_of_time(log(spark, sf_dir), ["user_id"], ntz("2024-01-10 12:00:00")).select("user_id", "txid", "value")
+
+
+@query("select user_id, max(event_id) as txid, max_by(value,event_id) as value from events group by user_id")
+def latest(spark, sf_dir):
+    return versions.latest(log(spark, sf_dir).select("user_id", "txid", "value"), ["user_id"])
+
+
+@query("select date_trunc('hour',ts) as win, user_id, max(event_id) as txid, max_by(value,event_id) as value from events group by date_trunc('hour',ts), user_id")
+def compact_l1_1h(spark, sf_dir):
+    return tiers.rolled_up(log(spark, sf_dir), ["user_id"], "hour").select("win", "user_id", "txid", "value")
+
+
+@query("select event_id, cast(floor(epoch_us(ts)/30000000)*30 as bigint) as boundary from events")
+def floor_30s(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", C.epoch_floor(F.col("ts"), 30).alias("boundary"))
+
+
+@query("select min(event_id)+1 as min_txid, max(event_id)+1 as max_txid, count(distinct user_id) as pages, count(*) as frames, cast(floor(event_id/50) as bigint) as sync_no from events group by floor(event_id/50)")
+def txid_span(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.floor(F.col("event_id") / 50).alias("sync_no"))
+    return e.groupBy("sync_no").agg((F.min("event_id") + 1).alias("min_txid"), (F.max("event_id") + 1).alias("max_txid"), F.count_distinct("user_id").alias("pages"), F.count("*").alias("frames"))
+
+
+@query(f"""with {_CAT}, s as (select *, row_number() over(partition by level order by min_txid desc,max_txid desc) as rn from cat)
+select level,min_txid,max_txid from s where created_at < timestamp '2024-01-25' and rn > 1""")
+def snapshot_retention(spark, sf_dir):
+    return retention.snapshots(catalog(spark, sf_dir), ntz("2024-01-25 00:00:00")).select("level", "min_txid", "max_txid")
+
+
+@query(f"""with {_CAT}, s as (select *, row_number() over(partition by level order by min_txid desc,max_txid desc) as rn from cat)
+select level,min_txid,max_txid from s where max_txid < 6000 and rn > 1""")
+def txid_retention(spark, sf_dir):
+    return retention.below(catalog(spark, sf_dir), 6000).select("level", "min_txid", "max_txid")
+
+
+@query(f"with {_CAT} select coalesce(min(case when created_at >= timestamp '2024-01-20' then max_txid end), 0) as min_retained from cat")
+def min_retained(spark, sf_dir):
+    return retention.min_retained(catalog(spark, sf_dir), ntz("2024-01-20 00:00:00"))
+
+
+def _l0_sql(cutoff: str) -> str:
+    return f"""with {_CAT}, l1 as (select max(max_txid) as m from cat where level=1),
+s as (select c.*, max(case when created_at > timestamp '{cutoff}' then 1 else 0 end) over(order by min_txid,max_txid rows between unbounded preceding and current row) as stopped,
+ max(case when created_at > timestamp '{cutoff}' then 1 else 0 end) over() as any_new, row_number() over(order by min_txid desc,max_txid desc) as rn from cat c where level=0)
+select min_txid,max_txid from s, l1 where stopped=0 and max_txid <= m and (any_new=1 or rn>1)"""
+
+
+@query(_l0_sql("2024-01-18"))
+def l0_retention(spark, sf_dir):
+    return retention.level0(catalog(spark, sf_dir), ntz("2024-01-18 00:00:00")).select("min_txid", "max_txid")
+
+
+@query(_l0_sql("2030-01-01"))
+def l0_retention_all_old(spark, sf_dir):
+    return retention.level0(catalog(spark, sf_dir), ntz("2030-01-01 00:00:00")).select("min_txid", "max_txid")
+
+
+def _plan_sql(where: str) -> str:
+    return f"""with recursive {_CAT}, c2 as (select * from cat where {where}), pts as (select distinct max_txid as pos from c2 union select 0),
+hops as (select pos, max_txid as nxt, level, min_txid from (select p.pos, f.*, row_number() over(partition by p.pos order by f.max_txid desc,f.level desc,f.min_txid desc) as rn from pts p join c2 f on f.min_txid <= p.pos+1 and f.max_txid > p.pos) where rn=1),
+r(step,pos,level,min_txid,max_txid) as (select 1, nxt, level, min_txid, nxt from hops where pos=0 union all select r.step+1, x.nxt, x.level, x.min_txid, x.nxt from r join hops x on x.pos=r.pos)
+select step,level,min_txid,max_txid from r"""
+
+
+@query(_plan_sql("true"))
+def plan_restore(spark, sf_dir):
+    return restore.plan_frame(catalog(spark, sf_dir))
+
+
+@query(_plan_sql("not (level = 0 and created_at >= timestamp '2024-01-25' and created_at < timestamp '2024-01-26')"))
+def plan_restore_gap(spark, sf_dir):
+    """A missing file ends the chain."""
+    hole = (F.col("level") == 0) & (F.col("created_at") >= ntz("2024-01-25 00:00:00")) & (F.col("created_at") < ntz("2024-01-26 00:00:00"))
+    return restore.plan_frame(catalog(spark, sf_dir).where(~hole))
+
+
+_GAPS = "select min_txid,max_txid, (min_txid > prev_max+1 or max_txid <= prev_max) as broken from g where prev_max is not null"
+
+
+@query(f"with {_CAT}, g as (select min_txid, max_txid, lag(max_txid) over(order by min_txid,max_txid) as prev_max from cat where level=0) {_GAPS}")
+def gaps(spark, sf_dir):
+    return frames.gaps(catalog(spark, sf_dir).where("level = 0")).select("min_txid", "max_txid", "broken")
+
+
+@query(f"with {_CAT}, g as (select min_txid, max_txid, lag(max_txid) over(order by min_txid,max_txid) as prev_max from cat where level=0 and day(created_at) <> 10) {_GAPS}")
+def gaps_broken(spark, sf_dir):
+    return frames.gaps(catalog(spark, sf_dir).where("level = 0").where(F.dayofmonth("created_at") != 10)).select("min_txid", "max_txid", "broken")
+
+
+@query(f"with {_CAT} select level, min_txid, max_txid from cat where level = 0 and min_txid > (select coalesce(max(max_txid), 0) from cat where level = 1)")
+def frontier(spark, sf_dir):
+    return tiers.frontier(catalog(spark, sf_dir), 0, 1).select("level", "min_txid", "max_txid")
+
+
+@query(f"with {_CAT} select level, count(*) as files, max(max_txid) as max_txid, lower(lpad(to_hex(level), 4, '0')) || '/' || lpad(lower(to_hex(min(min_txid))), 16, '0') || '-' || lpad(lower(to_hex(max(max_txid))), 16, '0') || '.ltx' as name from cat group by level")
+def catalog_span(spark, sf_dir):
+    got = catalog(spark, sf_dir).groupBy("level").agg(F.count("*").alias("files"), F.max("max_txid").alias("max_txid"), F.min("min_txid").alias("lo"))
+    return got.select("level", "files", "max_txid", F.concat(C.level_dir(F.col("level")), F.lit("/"), C.file_name(F.col("lo"), F.col("max_txid"))).alias("name"))
+
+
+@query("select event_type, bit_xor(('0x'||substr(md5(concat(cast(event_id as varchar),'|',cast(user_id as varchar))),1,15))::bigint) as chk from events group by event_type")
+def rolling_xor(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    text = F.concat_ws("|", F.col("event_id").cast("string"), F.col("user_id").cast("string"))
+    return e.groupBy("event_type").agg(F.bit_xor(F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")).alias("chk"))
+
+
+def _outcome_sql(body: str, keys: str, source: str) -> str:
+    return f"""select {keys},count(*) as writes,count(distinct {body}) as versions,
+case when count(*)=1 then 'Created' when count(distinct {body})=1 then 'AlreadyIdentical' else 'Conflict' end as outcome from {source} group by {keys}"""
+
+
+@query(_outcome_sql("concat_ws('|',cast(l_partkey as varchar),cast(l_suppkey as varchar),l_returnflag)", "l_orderkey,l_linenumber", "lineitem"))
+def equivocation(spark, sf_dir):
+    x = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    return frames.outcomes(x, ["l_orderkey", "l_linenumber"], [F.col(c) for c in ("l_partkey", "l_suppkey", "l_returnflag")])
+
+
+@query(_outcome_sql("concat_ws('|',cast(l_returnflag as varchar))", "l_orderkey,l_linenumber", "lineitem"))
+def equivocation_identical(spark, sf_dir):
+    return frames.outcomes(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"), ["l_orderkey", "l_linenumber"], [F.col("l_returnflag")])
+
+
+@query("""with base as (select user_id, value, event_id from (select *, row_number() over(partition by user_id order by event_id desc) rn from events where event_id<4000) t where rn=1),
+inc as (select user_id, value, event_id from (select *, row_number() over(partition by user_id order by event_id desc) rn from events where event_id>=4000 and event_id<4100) t where rn=1)
+select * from inc union all select * from base b where not exists (select 1 from inc where inc.user_id=b.user_id)""")
+def newest_first(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "value", "event_id")
+    inc = versions.latest(e.where("event_id >= 4000 and event_id < 4100"), ["user_id"], "event_id")
+    return versions.newest_first([inc, versions.latest(e.where("event_id < 4000"), ["user_id"], "event_id")], ["user_id"])
+
+
+@query("""with s as (select 0 as step, user_id as pgno, max_by(value, event_id) as data from events where event_id < 3000 group by user_id
+ union all select 1, user_id, max_by(value, event_id) from events where event_id >= 3000 and event_id < 6000 and user_id <= 60 group by user_id
+ union all select 2, user_id, max_by(value, event_id) from events where event_id >= 6000 group by user_id)
+select pgno, max_by(data, step) as data from s where (step = 2 or pgno <= 60) group by pgno""")
+def merge_shrunk(spark, sf_dir):
+    """Three files; the second shrinks the database to 60 pages, the third grows it again."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("pgno"), "event_id", F.col("value").alias("data"))
+    cuts = [e.where("event_id < 3000"), e.where("event_id >= 3000 and event_id < 6000 and pgno <= 60"), e.where("event_id >= 6000")]
+    return versions.merged([versions.latest(x, ["pgno"], "event_id").select("pgno", "data") for x in cuts], [2**31, 60, 2**31]).select("pgno", "data")
+
+
+@query("""select s.i as pgno, coalesce(c.value, b.value, -1.0::double) as data from range(1, 201) s(i)
+left join (select user_id, max_by(value, event_id) as value from events where event_id >= 4000 group by user_id) c on c.user_id = s.i
+left join (select user_id, max_by(value, event_id) as value from events where event_id < 4000 group by user_id) b on b.user_id = s.i""")
+def overlay(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("pgno"), "event_id", F.col("value").alias("data"))
+    new, old = (versions.latest(e.where(w), ["pgno"], "event_id") for w in ("event_id >= 4000", "event_id < 4000"))
+    blank = F.lit(-1.0)
+    return versions.overlaid(old, new, 200, 4096, blank=blank)
+
+
+@query("select cast(floor(event_id/500) as bigint) as tick, max(event_id)+1 as live, case when max(event_id)+1 >= 8000 then 'TRUNCATE' when max(event_id)+1 >= 1000 then 'PASSIVE' else 'NONE' end as mode from events group by floor(event_id/500)")
+def ckpt_gate(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.floor(F.col("event_id") / 500).alias("tick"))
+    return e.groupBy("tick").agg((F.max("event_id") + 1).alias("live")).withColumn("mode", C.checkpoint_mode(F.col("live"), truncate=8000))
+
+
+@query("""with f as (select * from (values (24),(144),(1440)) as t(f0)), d as (select f0, f0+least(24,f0)+1+1+10 as a, f0+least(least(24,f0),24)+3+1 as b from f)
+select f0::bigint as f0, a::bigint as class_a, b::bigint as class_b, (a*100*30)::bigint as a_month, (b*100*30)::bigint as b_month, round(a::double*3000/1000.0::double*0.005::double + b::double*3000/1000.0::double*0.0004::double,2) as usd from d""")
+def ops_cost(spark, sf_dir):
+    """Store operations of 100 databases over 30 days, by change files a day."""
+    f = spark.range(1).select(F.explode(F.array(*(F.lit(x).cast("long") for x in (24, 144, 1440)))).alias("f0"))
+    merged = F.least(F.lit(24), F.col("f0"))
+    d = f.select("f0", (F.col("f0") + merged + 12).cast("long").alias("class_a"), (F.col("f0") + F.least(merged, F.lit(24)) + 4).cast("long").alias("class_b"))
+    usd = F.round(F.col("class_a").cast("double") * 3000 / 1000.0 * 0.005 + F.col("class_b").cast("double") * 3000 / 1000.0 * 0.0004, 2)
+    return d.select("f0", "class_a", "class_b", (F.col("class_a") * 3000).alias("a_month"), (F.col("class_b") * 3000).alias("b_month"), usd.alias("usd"))
