@@ -59,7 +59,7 @@ def parse(page: str) -> Node:
             i = j
             continue
         m = _TOKEN.match(page, i)
-        if m is None:  # a tag that never ends
+        if m["text"] == "<" and page[i + 1 : i + 2].isalpha() and page.find(">", i) < 0:  # the page ends within a tag
             break
         i = m.end()
         if m["text"] is not None:

@@ -77,7 +77,7 @@ def _dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     scored = sorted(((z(w), w) for w in df[0] | df[1] if len(w) >= 3), reverse=True)
     own = [w for s, w in scored if s >= Z_LEAST][:MOST_WORDS] or [w for _, w in scored[:10]]
     seg = b" " + b" ".join(own) + b" "
-    other = b" " + b" ".join(w for _, w in reversed(scored))
+    other = b" " + b" ".join(w for s, w in reversed(scored) if s <= 0)
     common = b" ".join(w for w, _ in sorted(df[1].items(), key=lambda x: (-x[1], x[0]))[:COMMON_WORDS])
     pad = lambda x: (x + b" " * len(seg))[: len(seg)]
     return seg + common + b" " * 8, pad(other[: len(seg)]) + common + b" " * 8
@@ -110,10 +110,16 @@ def train(texts: Iterable[str | None], labels: Iterable[int]) -> Model:
     model.threshold = max(range(2, 9), key=apart)
     x = np.array([model.features(g) for g in gains])
     w = np.zeros(4)
-    for _ in range(50):  # Newton's method, with a small ridge
+
+    def loss(w: np.ndarray) -> float:
+        return float(np.logaddexp(0, x @ w).sum() - y @ (x @ w) + 0.05 * w @ w)
+
+    for _ in range(50):  # Newton's method with a small ridge; steps are halved until they improve
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(4)
-        w = w + np.linalg.solve(h, x.T @ (y - p) - 1e-2 * w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(4), x.T @ (y - p) - 0.1 * w)
+        while loss(w + step) > loss(w) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w = w + step
     model.coef = tuple(float(v) for v in w)
     return model
 
