@@ -119,7 +119,10 @@ class Wal(DataSource):
 
 
 class LtxReader(DataSourceReader):
-    """A task a file. Filters on pgno reach the page index, so only their pages are read (needs spark.sql.python.filterPushdown.enabled)."""
+    """A task a file. Filters on pgno reach the page index, so only their pages are read (needs spark.sql.python.filterPushdown.enabled).
+
+    Spark keeps a pushed filter with the loaded source, so each point lookup must ``load()`` anew.
+    """
 
     def __init__(self, path: str, verify: bool):
         self.path, self.verify, self.wanted = path, verify, None

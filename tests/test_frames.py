@@ -69,7 +69,8 @@ def test_sources_sink_and_stream(spark, tmp_path):
     ltx = spark.read.format("ltx").option("path", replica).option("verify", "true").load()
     newest = versions.latest(ltx.select("pgno", "max_txid", "data"), ["pgno"], "max_txid")
     assert {r["pgno"]: bytes(r["data"]) for r in newest.collect()} == {i + 1: image[i * 4096 : (i + 1) * 4096] for i in range(len(image) // 4096)}
-    assert ltx.where("pgno = 2").count() >= 1
+    # a filter that was pushed stays with the loaded source, so a point lookup loads its own
+    assert spark.read.format("ltx").option("path", replica).load().where("pgno = 2").count() >= 1
     base = spark.read.format("sqlite_pages").option("path", path).load()
     assert base.count() == len(image) // 4096
     newest.select("pgno", "data").repartition(1).sortWithinPartitions("pgno").write.format("ltx").options(path=replica, level="9", page_size="4096", commit=str(len(image) // 4096), min_txid="1", max_txid="2").mode("append").save()
