@@ -233,14 +233,14 @@ def train(texts: list[str], langs: list[str], rounds: int = ROUNDS) -> Field:
 
 
 def sample(docs: DataFrame, per_lang: int = SAMPLE, max_chars: int = MAX_CHARS) -> tuple[list[str], list[str]]:
-    """About ``per_lang`` texts of each of the ``MAX_LANGS`` most frequent languages, chosen by hash of the text."""
+    """About ``per_lang`` texts of each of the ``MAX_LANGS`` most frequent languages, chosen by hash of the text; copies of a text count once."""
     known = docs.where("lang is not null and text is not null").where(F.length("text") <= max_chars)
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
     if not counts:
         return [], []
     spot = F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1_000_000))
     shares = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1_000_000, math.ceil(1_000_000 * per_lang / r["count"])))))
-    got = known.where(spot < shares[F.col("lang")]).select("text", "lang").limit(3 * per_lang * len(counts)).collect()
+    got = known.where(spot < shares[F.col("lang")]).select("text", "lang").distinct().limit(3 * per_lang * len(counts)).collect()
     return [r["text"] for r in got], [r["lang"] for r in got]
 
 
