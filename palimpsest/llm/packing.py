@@ -1,7 +1,7 @@
 """Best-fit packing into sequences of several permitted lengths.
 
-Pieces (documents, cut where longer than the longest length) go to shards of about ``SHARD`` by hash; each shard is packed by
-itself, largest first, into the open bin that leaves least room. Where none fits, the length with the least cost for each word it
+Pieces (documents, cut where longer than the longest length) go to shards of about ``SHARD`` by hash; pieces that are alike are
+counted first and travel as rows of at most ``COPIES`` copies, so none of them can fill a shard. Each shard is packed by itself, largest first, into the open bin that leaves least room. Where none fits, the length with the least cost for each word it
 is expected to hold is opened: its room beyond the piece counts as far as the shard's smaller pieces can fill it. Each shard tries
 that joint choice and each permitted length by itself, keeps the cheapest, and at last every bin shrinks to the smallest length
 that holds its contents.
@@ -21,6 +21,8 @@ LENGTHS = (512, 1024, 2048, 4096)
 #: What a bin costs besides its length, in words.
 OVERHEAD = 32
 SHARD = 50_000
+#: Like pieces that one row stands for at most on its way to a shard.
+COPIES = 1000
 
 
 def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, overhead: int = OVERHEAD) -> tuple[list[int], list[int], list[int]]:
@@ -63,7 +65,8 @@ def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, overhead: int = O
 
 
 def _pack_shard(key: tuple, pdf: pd.DataFrame, lengths: tuple[int, ...], overhead: int) -> pd.DataFrame:
-    pdf = pdf.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
+    pdf = pdf.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+    pdf = pdf.loc[pdf.index.repeat(pdf["copies"])].reset_index(drop=True)
     bins, starts, final = pack(pdf["n_tokens"].tolist(), lengths, overhead)
     return pd.DataFrame({"doc_id": pdf["doc_id"], "piece": pdf["piece"], "n_tokens": pdf["n_tokens"], "bin_id": [(key[0] << 32) + b for b in bins], "bin_size": [final[b] for b in bins], "start": starts})
 
@@ -76,11 +79,15 @@ def packed(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, overhead: int =
     """
     top = max(lengths)
     size = n_words(F.col("text"))
-    slim = cut(docs.select("doc_id", F.xxhash64("text").alias("hash_"), size.alias("n")), "lengths")
-    pieces = slim.where("n > 0").select("doc_id", "hash_", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / top).cast("int"))).alias("piece"))
+    slim = cut(docs.select("doc_id", size.alias("n")), "lengths")
+    alike = slim.where("n > 0").groupBy("doc_id", "n").agg(F.count("*").alias("rows_"))
+    parts = alike.select("doc_id", "n", "rows_", F.explode(F.sequence(F.lit(0), F.floor((F.col("rows_") - 1) / COPIES).cast("int"))).alias("part"))
+    parts = parts.select("doc_id", "n", "part", F.least(F.lit(COPIES), F.col("rows_") - F.col("part").cast("long") * COPIES).cast("int").alias("copies"))
+    pieces = parts.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / top).cast("int"))).alias("piece"))
     pieces = pieces.withColumn("n_tokens", F.least(F.lit(top), F.col("n") - F.col("piece").cast("long") * top).cast("int"))
-    shards = max(1, -(-pieces.count() // shard))
-    placed = pieces.select("doc_id", "piece", "n_tokens", F.pmod(F.xxhash64("doc_id", "hash_", "piece"), F.lit(shards)).alias("shard"))
+    total = slim.agg(F.sum(F.ceil(F.col("n") / top))).first()[0] or 0
+    shards = max(1, -(-total // shard))
+    placed = pieces.select("doc_id", "piece", "n_tokens", "copies", F.pmod(F.xxhash64("doc_id", "n", "piece", "part"), F.lit(shards)).alias("shard"))
     schema = "doc_id long, piece int, n_tokens int, bin_id long, bin_size int, start int"
 
     def per_shard(key, pdf):

@@ -97,6 +97,17 @@ def test_packing_whole_texts(docs):
     assert {r["n_tokens"] for r in rows if r["bin_id"] is None} == {0}
 
 
+def test_packing_spreads_like_rows(spark):
+    same = spark.range(5000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("a b c").alias("text"))
+    rows = packing.packed(same, shard=1000).collect()
+    shards = Counter(r["bin_id"] >> 32 for r in rows)
+    assert len(rows) == 5000 and len(shards) > 1 and max(shards.values()) < 5000
+    held = Counter()
+    for r in rows:
+        held[r["bin_id"]] += r["n_tokens"]
+    assert len({(r["bin_id"], r["start"]) for r in rows}) == 5000 and all(held[r["bin_id"]] <= r["bin_size"] for r in rows)
+
+
 def test_media(docs):
     rows = media.digests(media.stored(docs.select("doc_id", "text"))).collect()
     by = {r["doc_id"]: r for r in rows}
