@@ -16,6 +16,14 @@ def is_page_size(x: Column) -> Column:
     return x.between(512, 65536) & (F.bit_count(x) == 1)
 
 
+def is_snapshot(min_txid: Column) -> Column:
+    return min_txid == 1
+
+
+def is_txid_range(min_txid: Column, max_txid: Column) -> Column:
+    return (min_txid > 0) & (max_txid >= min_txid)
+
+
 def hex16(x: Column) -> Column:
     return F.lower(F.lpad(F.hex(x), 16, "0"))
 

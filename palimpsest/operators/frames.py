@@ -31,6 +31,12 @@ def gaps(files: DataFrame) -> DataFrame:
     return files.withColumn("prev_max", F.lag("max_txid").over(w)).where("prev_max is not null").withColumn("broken", (F.col("min_txid") > F.col("prev_max") + 1) | (F.col("max_txid") <= F.col("prev_max")))
 
 
+def wholeness(pages: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each file: pages, first_page, last_page and whether they run from 1 on without a gap. Aggregates only, no ordered window."""
+    got = pages.groupBy(*keys).agg(F.count_distinct("pgno").alias("pages"), F.min("pgno").alias("first_page"), F.max("pgno").alias("last_page"))
+    return got.withColumn("whole", (F.col("first_page") == 1) & (F.col("last_page") == F.col("pages")))
+
+
 def outcomes(writes: DataFrame, keys: list[str], body: list[Column]) -> DataFrame:
     """Of each key what conditional puts give: Created, AlreadyIdentical or Conflict."""
     text = F.concat_ws("|", *(c.cast("string") for c in body))

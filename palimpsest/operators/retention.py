@@ -41,3 +41,13 @@ def level0(files: DataFrame, cutoff: Column, max_level1: int | None = None) -> D
     any_new = F.max("new_").over(Window.partitionBy("level"))
     df = df.withColumn("any_", any_new)
     return df.where("stop_ = 0 and max_txid <= top_ and (any_ = 1 or rank_ > 1)").select(*files.columns)
+
+
+def but_newest(files: DataFrame) -> DataFrame:
+    """All files but the newest of each level."""
+    return _rank(files).where("rank_ > 1").drop("rank_")
+
+
+def without(files: DataFrame, deleted: DataFrame) -> DataFrame:
+    key = ["level", "min_txid", "max_txid"]
+    return files.join(deleted.select(*key), key, "left_anti")

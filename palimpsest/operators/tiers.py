@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidLevels
@@ -65,6 +65,11 @@ def frontier(files: DataFrame, source: int, target: int) -> DataFrame:
     return files.where(F.col("level") == source).join(F.broadcast(top), F.col("min_txid") > F.col("top_")).drop("top_")
 
 
+def reached(files: DataFrame, ts: Column) -> DataFrame:
+    """One row: ``reached``, the greatest transaction of files written at ``ts`` or before; null if there is none."""
+    return files.where(F.col("created_at") <= ts).agg(F.max("max_txid").alias("reached"))
+
+
 def rolled_up(log: DataFrame, keys: list[str], unit: str, ts: str = "ts") -> DataFrame:
     """Last version of each key in each tumbling window of a unit that date_trunc knows."""
     kind = dict(log.dtypes)[ts]

@@ -6,6 +6,7 @@ file a day (level 0), a week (level 1) and one snapshot (level 9).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import frames, retention, tiers, versions
+from ..sources import datasources
+from ..staging import shared_dir
 from ..tables import table
 from . import restore
 
@@ -245,3 +248,135 @@ def ops_cost(spark, sf_dir):
     d = f.select("f0", (F.col("f0") + merged + 12).cast("long").alias("class_a"), (F.col("f0") + F.least(merged, F.lit(24)) + 4).cast("long").alias("class_b"))
     usd = F.round(F.col("class_a").cast("double") * 3000 / 1000.0 * 0.005 + F.col("class_b").cast("double") * 3000 / 1000.0 * 0.0004, 2)
     return d.select("f0", "class_a", "class_b", (F.col("class_a") * 3000).alias("a_month"), (F.col("class_b") * 3000).alias("b_month"), usd.alias("usd"))
+
+
+@query(_plan_sql("max_txid <= 4000"))
+def plan_restore_txid(spark, sf_dir):
+    """The chain that restores transaction 4000 or the last before it that a file ends on; the catalog is filtered first."""
+    return restore.plan_frame(catalog(spark, sf_dir).where("max_txid <= 4000"))
+
+
+@query(_plan_sql("max_txid <= (select max(max_txid) from cat where created_at <= timestamp '2024-01-20 06:00:00')"))
+def plan_restore_time(spark, sf_dir):
+    """As of a time: the greatest transaction written by then, and the chain up to it."""
+    cat = catalog(spark, sf_dir)
+    top = tiers.reached(cat, ntz("2024-01-20 06:00:00"))
+    return restore.plan_frame(cat.join(F.broadcast(top), F.col("max_txid") <= F.col("reached")))  # top is one row
+
+
+@query(f"with {_CAT} select max(max_txid) as reached from cat where created_at <= timestamp '2024-01-10 12:00:00'")
+def asof_target(spark, sf_dir):
+    return tiers.reached(catalog(spark, sf_dir), ntz("2024-01-10 12:00:00"))
+
+
+@query(f"""with {_CAT}, pts as (select distinct max_txid as pos from cat union select 0)
+select pos, level, min_txid, max_txid from (select p.pos, f.*, row_number() over(partition by p.pos order by f.max_txid desc,f.level desc,f.min_txid desc) as rn
+ from pts p join cat f on f.min_txid <= p.pos+1 and f.max_txid > p.pos) where rn=1""")
+def next_hops(spark, sf_dir):
+    """From every position the file that reaches furthest."""
+    return restore.hops(catalog(spark, sf_dir))
+
+
+@query(f"with {_CAT} select (select max(max_txid) from cat) as txid, max(max_txid) as l0_txid, max_by(created_at, max_txid) as l0_created_at from cat where level = 0")
+def position(spark, sf_dir):
+    """Where replication resumes: the greatest transaction of all levels, and the newest file of level 0."""
+    zero = F.col("level") == 0
+    return catalog(spark, sf_dir).agg(F.max("max_txid").alias("txid"), F.max(F.when(zero, F.col("max_txid"))).alias("l0_txid"), F.max_by("created_at", F.when(zero, F.col("max_txid"))).alias("l0_created_at"))
+
+
+@query(f"with {_CAT} select min_txid, max_txid from (select *, row_number() over(order by min_txid desc, max_txid desc) as rn from cat where level = 0) where rn > 1")
+def legacy_inputs(spark, sf_dir):
+    """Level-0 files that a one-step compaction folds in: all but the newest."""
+    return retention.but_newest(catalog(spark, sf_dir).where("level = 0")).select("min_txid", "max_txid")
+
+
+@query(f"""with {_CAT}, s as (select *, row_number() over(partition by level order by min_txid desc,max_txid desc) as rn from cat)
+select level, min_txid, max_txid from s where not (created_at < timestamp '2024-01-25' and rn > 1)""")
+def retained_files(spark, sf_dir):
+    """The catalog without what snapshot retention deletes."""
+    cat = catalog(spark, sf_dir)
+    return retention.without(cat, retention.snapshots(cat, ntz("2024-01-25 00:00:00"))).select("level", "min_txid", "max_txid")
+
+
+@query(f"""with {_CAT} select level, count(*) as inputs, min(min_txid) as min_txid, max(max_txid) as max_txid, sum(max_txid - min_txid + 1)::bigint as transactions from cat
+where level = 0 and min_txid > (select coalesce(max(max_txid), 0) from cat where level = 1) group by level""")
+def backlog(spark, sf_dir):
+    """What waits for the next compaction of level 1."""
+    f = tiers.frontier(catalog(spark, sf_dir), 0, 1)
+    return f.groupBy("level").agg(F.count("*").alias("inputs"), F.min("min_txid").alias("min_txid"), F.max("max_txid").alias("max_txid"), F.sum(F.col("max_txid") - F.col("min_txid") + 1).alias("transactions"))
+
+
+@query(f"with {_CAT} select level, min_txid, max_txid, (min_txid = 1) as is_snapshot, (min_txid > 0 and max_txid >= min_txid) as valid from cat")
+def header_checks(spark, sf_dir):
+    lo, hi = F.col("min_txid"), F.col("max_txid")
+    return catalog(spark, sf_dir).select("level", "min_txid", "max_txid", C.is_snapshot(lo).alias("is_snapshot"), C.is_txid_range(lo, hi).alias("valid"))
+
+
+@query(f"""with {_CAT} select '/replica/' || lower(lpad(to_hex(level), 4, '0')) || '/' || lpad(lower(to_hex(min_txid)), 16, '0') || '-' || lpad(lower(to_hex(max_txid)), 16, '0') || '.ltx' as path,
+level, min_txid, max_txid from cat""")
+def key_names(spark, sf_dir):
+    """Keys of the store, built and read again."""
+    path = F.concat(F.lit("/replica/"), C.level_dir(F.col("level")), F.lit("/"), C.file_name(F.col("min_txid"), F.col("max_txid")))
+    level, low, high = C.parse_file_name(F.col("path"))
+    return catalog(spark, sf_dir).select(path.alias("path")).select("path", level.alias("level"), low.alias("min_txid"), high.alias("max_txid"))
+
+
+@query("""with s as (select distinct ((1 << (event_id % 20)::int) + event_id % 2)::bigint as size from events)
+select size, (size between 512 and 65536 and bit_count(size) = 1) as valid, (1073741824 // size + 1)::bigint as lock_pgno from s""")
+def page_sizes(spark, sf_dir):
+    n = F.col("size")
+    sizes = table(spark, sf_dir, "events").select((F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("event_id") % 20).cast("int")) + F.col("event_id") % 2).alias("size")).distinct()
+    return sizes.select("size", C.is_page_size(n).alias("valid"), C.lock_page(n).alias("lock_pgno"))
+
+
+@query("select event_id, epoch_us(ts) // 1000 as from_text, epoch_us(ts) // 1000 as from_number, true as junk_is_null from events")
+def parse_times(spark, sf_dir):
+    """Times given as RFC 3339 text or as epoch milliseconds, parts of a millisecond cut off; anything else is null."""
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
+    number = F.unix_millis(F.to_timestamp_ltz(text)).cast("string")
+    return table(spark, sf_dir, "events").select("event_id", C.timestamp_ms(text).alias("from_text"), C.timestamp_ms(number).alias("from_number"), C.timestamp_ms(F.concat(F.lit("t"), number)).isNull().alias("junk_is_null"))
+
+
+@query("select floor(event_id/500)::bigint as tick, (32 + count(*) * 4120)::bigint as wal_offset, count(*) as live from events group by floor(event_id/500)")
+def live_frames(spark, sf_dir):
+    ticks = table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 500).alias("tick")).agg((F.count("*") * 4120 + 32).alias("wal_offset"))
+    return ticks.select("tick", "wal_offset", C.live_frames(F.col("wal_offset"), F.lit(4096)).alias("live"))
+
+
+@query("select floor(event_id/50)::bigint as sync_no, user_id + 1 as pgno, max(event_id) as frame_no, max_by(value, event_id) as data from events group by floor(event_id/50), user_id")
+def incremental_pages(spark, sf_dir):
+    """Pages of each change file: a page's last version within its 50 frames."""
+    e = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 50).alias("sync_no"), (F.col("user_id") + 1).alias("pgno"), F.col("event_id").alias("frame_no"), F.col("value").alias("data"))
+    return versions.latest(e, ["sync_no", "pgno"], "frame_no")
+
+
+@query("""select (event_id // 1000)::bigint as file_no, count(distinct user_id) as pages, min(user_id) + 1 as first_page, max(user_id) + 1 as last_page,
+(min(user_id) = 0 and max(user_id) + 1 = count(distinct user_id)) as whole from events group by event_id // 1000""")
+def snapshot_check(spark, sf_dir):
+    """Whether each file's pages run from 1 on without a gap."""
+    e = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 1000).alias("file_no"), (F.col("user_id") + 1).alias("pgno"))
+    return frames.wholeness(e, ["file_no"])
+
+
+@query("""with f as (select 0 as step, user_id from events where event_id < 3000 union all select 1, user_id from events where event_id >= 3000 and event_id < 6000 union all select 2, user_id from events where event_id >= 6000)
+select user_id as pgno, max(step) as step from f group by user_id""")
+def page_lookup(spark, sf_dir):
+    """For each page the newest file whose index has it."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("pgno"), F.when(F.col("event_id") < 3000, 0).when(F.col("event_id") < 6000, 1).otherwise(2).alias("step"))
+    return versions.latest(e, ["pgno"], "step")
+
+
+@query("""with f as (select event_id, user_id + 1 as pgno, case when event_id < 4000 then 1 else 4001 end as min_txid, case when event_id < 4000 then 4000 else 8000 end as max_txid from events where event_id < 8000)
+select min_txid::bigint as min_txid, max_txid::bigint as max_txid, pgno, max(event_id)::varchar as data from f group by min_txid, max_txid, pgno""")
+def ltx_files(spark, sf_dir):
+    """Two change files, written by the sink ``ltx`` under the shared folder and read by the source with their checksums verified."""
+    datasources.register(spark)
+    root = f"{shared_dir(spark).removeprefix('file:')}/palimpsest/ltx-{uuid.uuid4().hex}".replace("//", "/")
+    e = table(spark, sf_dir, "events").select((F.col("user_id") + 1).alias("pgno"), F.col("event_id"))
+    for low in (0, 4000):
+        pages = versions.latest(e.where((F.col("event_id") >= low) & (F.col("event_id") < low + 4000)), ["pgno"], "event_id")
+        pages = pages.select("pgno", F.rpad(F.col("event_id").cast("string"), 512, " ").cast("binary").alias("data"))
+        how = {"path": root, "level": 0, "page_size": 512, "commit": 2**31 - 1, "min_txid": low + 1, "max_txid": low + 4000}
+        pages.coalesce(1).write.format("ltx").options(**how).mode("append").save()
+    got = spark.read.format("ltx").option("path", root).option("verify", "true").load()
+    return got.select("min_txid", "max_txid", "pgno", F.rtrim(F.col("data").cast("string")).alias("data"))

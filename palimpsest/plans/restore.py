@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import NoSnapshot, TxidTooOld
@@ -48,6 +48,21 @@ def plan_frame(catalog: DataFrame) -> DataFrame:
     return catalog.sparkSession.createDataFrame(steps, "step int, level int, min_txid long, max_txid long")
 
 
+def hops(catalog: DataFrame) -> DataFrame:
+    """(pos, level, min_txid, max_txid): from 0 and each file's end, the file that reaches furthest among those that start by then.
+
+    Files and positions are sorted by start together and the best file so far is carried along, so no pair is ever formed. The
+    window runs over catalog rows in one task; none reads the pages.
+    """
+    best = F.struct("max_txid", "level", "min_txid")
+    files = catalog.select(F.col("min_txid").alias("at_"), F.lit(0).alias("kind_"), F.lit(None).cast("long").alias("pos"), best.alias("file_"))
+    ends = catalog.select(F.col("max_txid").alias("pos")).union(catalog.sparkSession.range(1).select("id")).distinct()
+    marks = ends.select((F.col("pos") + 1).alias("at_"), F.lit(1).alias("kind_"), "pos", F.lit(None).cast(files.schema["file_"].dataType).alias("file_"))
+    so_far = Window.partitionBy(F.lit(0)).orderBy("at_", "kind_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    got = files.unionByName(marks).withColumn("file_", F.max("file_").over(so_far)).where("kind_ = 1 and file_.max_txid > pos")
+    return got.select("pos", "file_.level", "file_.min_txid", "file_.max_txid")
+
+
 def as_of(headers: DataFrame, timestamp_ms: int) -> int:
     """Greatest transaction of files written at ``timestamp_ms`` or before."""
     got = headers.where(F.col("timestamp") <= timestamp_ms).agg(F.max("max_txid")).first()[0]

@@ -77,20 +77,28 @@ class WalStream(DataSourceStreamReader):
     """Offset: generation and end of the whole committed frames seen; a new generation starts at its first frame."""
 
     def __init__(self, path: str):
-        self.path = path
+        self.path, self.seen = path, self.initialOffset()
 
     def initialOffset(self) -> dict:
         return {"salt": "", "offset": fmt.WAL_HEADER}
 
     def latestOffset(self) -> dict:
+        """Reads the header and what follows the last offset of the same generation."""
         try:
             with open(self.path, "rb") as f:
-                data = f.read()
-            h = fmt.wal_header(data)
+                h = fmt.wal_header(f.read(fmt.WAL_HEADER))
+                salt = f"{h.salt1:08x}{h.salt2:08x}"
+                start, seed = (self.seen["offset"] if self.seen["salt"] == salt else fmt.WAL_HEADER), None
+                if start > fmt.WAL_HEADER:
+                    f.seek(start - h.frame_size + 16)
+                    seed = tuple(int.from_bytes(f.read(4), "big") for _ in range(2))
+                f.seek(start)
+                tail = f.read()
         except (FileNotFoundError, fmt.FormatError):
             return self.initialOffset()
-        _, _, end = fmt.page_map(h, fmt.wal_frames(h, data[fmt.WAL_HEADER :]))
-        return {"salt": f"{h.salt1:08x}{h.salt2:08x}", "offset": max(end, fmt.WAL_HEADER)}
+        _, _, end = fmt.page_map(h, fmt.wal_frames(h, tail, start, seed))
+        self.seen = {"salt": salt, "offset": max(end, start)}
+        return dict(self.seen)
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
         if not end["salt"]:
@@ -276,5 +284,7 @@ class SqlitePages(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Also lets filters reach Python sources: with that off, Spark refuses to read ``ltx`` at all."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (Wal, Ltx, LtxHeaders, SqlitePages):
         spark.dataSource.register(source)
