@@ -3,8 +3,10 @@
 A page becomes a tree (HTML's usual implied end tags are supplied). Boilerplate subtrees go first: menus, page headers, footers,
 sidebars, notices, adverts, forms, scripts, styles, reader comments, by tag, role and whole class or id words. Each paragraph then
 gives points for its length and commas to its parent and, at half and a third, to the next two ancestors; a container's points
-are discounted by its link density. The best container is kept with those siblings that score near it, or that are paragraphs with
-few links. All text of what is kept comes out, block by block.
+are discounted by its link density. From the best container it goes up to the outermost article or main element around it, and all
+such elements with paragraphs are kept whole, with siblings that score near the best container or are paragraphs with few links. If
+there is none, or if most paragraph text is outside them, it goes up until all paragraphs are held. All text of what is kept comes
+out, block by block.
 """
 
 from __future__ import annotations
@@ -38,12 +40,13 @@ _WORD = re.compile(r"[a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "chars", "commas", "links", "points")
+    __slots__ = ("tag", "attrs", "parent", "children", "chars", "commas", "links", "points", "own")
 
     def __init__(self, tag: str, attrs: dict, parent: Node | None):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
         self.chars = self.commas = self.links = 0
         self.points = 0.0
+        self.own = 0
 
 
 def parse(page: str) -> Node:
@@ -145,6 +148,8 @@ def _score(order: list[Node]) -> None:
                 node.commas += c.commas
                 node.links += c.chars if c.tag == "a" else c.links
     for node in order:
+        if node.tag in BLOCKS or node.parent is None:  # its text outside links and inner blocks
+            node.own = sum(len(c.strip()) if isinstance(c, str) else c.chars - c.links for c in node.children if isinstance(c, str) or c.tag != "a" and c.tag not in BLOCKS)
         own = node.tag in ("p", "pre", "td", "blockquote", "li", "dd", "h1", "h2", "h3") or node.tag in BLOCKS and any(isinstance(c, str) and c.strip() for c in node.children)
         if not own or not node.chars:
             continue
@@ -158,6 +163,48 @@ def _score(order: list[Node]) -> None:
         node.points *= 1 - node.links / node.chars if node.chars else 0
 
 
+def _kept(order: list[Node], best: Node) -> list[Node]:
+    """Subtrees that hold the main text, in page order; none lies in another."""
+    held = {id(x): x.own for x in order}  # paragraph text of each subtree
+    for x in reversed(order):
+        if x.parent is not None:
+            held[id(x.parent)] += held[id(x)]
+    total = held[id(order[0])]
+    tops, outer, up = [], None, best
+    while up is not None:
+        outer = up if up.tag in ("article", "main") else outer
+        up = up.parent
+    if outer is not None:
+        todo = [order[0]]
+        while todo:
+            x = todo.pop()
+            if x.tag in ("article", "main"):
+                if x is outer or held[id(x)]:
+                    tops.append(x)
+            else:
+                todo.extend(c for c in x.children if not isinstance(c, str))
+    if not tops or 2 * sum(held[id(x)] for x in tops) < total:
+        at = best
+        while at.parent is not None and held[id(at)] < total:
+            at = at.parent
+        return [at]
+    keep, floor = {id(x) for x in tops}, max(10.0, 0.2 * best.points)
+    for x in outer.parent.children:
+        if isinstance(x, str):
+            continue
+        few = x.chars and x.links / x.chars < 0.25
+        if x.points >= floor or few and x.tag in ("p", "h1", "h2", "h3", "pre", "blockquote") and (x.chars >= 25 or x.tag[0] == "h"):
+            keep.add(id(x))
+    out, todo = [], [order[0]]
+    while todo:
+        x = todo.pop()
+        if id(x) in keep:
+            out.append(x)
+        else:
+            todo.extend(c for c in reversed(x.children) if not isinstance(c, str))
+    return out
+
+
 def _blocks(node: Node, out: list[str]) -> None:
     """Adds the node's text to ``out``, a string a block."""
     part: list[str] = []
@@ -194,18 +241,8 @@ def extract(page: str | None) -> str:
     _score(order)
     containers = [x for x in order if x.points > 0 and x.tag not in ("#root", "html")]
     best = max(containers, key=lambda x: x.points, default=order[0])
-    kept = [best]
-    if best.parent is not None and best.tag != "body":
-        floor = max(10.0, 0.2 * best.points)
-        kept = []
-        for x in best.parent.children:
-            if isinstance(x, str):
-                continue
-            few = x.chars and x.links / x.chars < 0.25
-            if x is best or x.points >= floor or few and x.tag in ("p", "h1", "h2", "h3", "pre", "blockquote") and (x.chars >= 25 or x.tag[0] == "h"):
-                kept.append(x)
     out: list[str] = []
-    for x in kept:
+    for x in _kept(order, best):
         _blocks(x, out)
     return "\n".join(out)
 

@@ -84,6 +84,15 @@ def test_html():
     assert html_text.extract("<p>a <b c=") == "a"
 
 
+def test_html_keeps_all_of_an_article():
+    p = "word, " * 5 + "x" * 270
+    many, few = f"<p>{p}</p>" * 60, f"<p>{p}</p>" * 5
+    for page in (f"<article><h1>h</h1><section>{many}</section><section>{few}</section><ul><li>i</ul><p>short</p></article>", f"<body><div><h1>h</h1><div>{many}</div><div>{few}</div><div><ul><li>i</ul></div><div><span>short</span></div></div></body>"):
+        assert html_text.extract(page) == "\n".join(["h", *[p] * 65, "i", "short"])
+    assert html_text.extract(f"<body><div><article>{many}</article></div><main><p>{p}</p></main></body>") == "\n".join([p] * 61)
+    assert html_text.extract(f"<article><p>teaser</p></article><div><div>{many}</div></div><div><div>{few}</div></div>") == "\n".join(["teaser", *[p] * 65])
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(0)
     f = langid.Field(["a", "b", "c"])
