@@ -1,8 +1,8 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a tree (HTML's usual implied end tags are supplied). Boilerplate subtrees go first: menus, page headers, footers,
-sidebars, notices, adverts, forms, scripts, styles, reader comments, by tag, role and whole class or id words. Each paragraph then
-gives points for its length and commas to its parent and, at half and a third, to the next two ancestors; a container's points
+sidebars, notices, adverts, forms, scripts, styles, reader comments, by tag, role and whole class or id words (the words spare what
+holds an article, a main element or most of the paragraph text). Each paragraph then gives points for its length and commas to its parent and, at half and a third, to the next two ancestors; a container's points
 are discounted by its link density. From the best container it goes up to the outermost article or main element around it, and all
 such elements with paragraphs are kept whole, with siblings that score near the best container or are paragraphs with few links. If
 there is none, or if most paragraph text is outside them, it goes up until all paragraphs are held. All text of what is kept comes
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -113,30 +114,60 @@ def _open(at: Node | None, tag: str, stop: set[str]) -> Node | None:
 
 
 def _boilerplate(node: Node, inside: bool) -> bool:
-    """``inside``: within an article or main element, whose header is its own."""
+    """By tag, role or hiding. ``inside``: within an article or main element, whose header is its own."""
     if node.tag in DROP or node.tag == "header" and not inside:
         return True
     a = node.attrs
-    if a.get("role", "").lower() in DROP_ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", a.get("style", "").lower()):
-        return True
+    return a.get("role", "").lower() in DROP_ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none", a.get("style", "").lower()))
+
+
+def _named(node: Node, inside: bool) -> bool:
+    """By class or id."""
     if node.tag in ("article", "main", "body", "html"):
         return False
-    words = set(_WORD.findall(f"{a.get('class', '')} {a.get('id', '')}".lower()))
+    words = set(_WORD.findall(f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower()))
     return bool(words & DROP_WORDS) or "header" in words and not inside
 
 
-def _pruned(root: Node) -> list[Node]:
-    """Cuts boilerplate off and returns what is left, parents first."""
+def _walk(root: Node, drop: Callable[[Node, bool], bool]) -> list[Node]:
+    """Cuts off what is to be dropped and returns what is left, parents first."""
     order, todo = [], [(root, False)]
     while todo:
         node, inside = todo.pop()
         order.append(node)
         inside = inside or node.tag in ("article", "main")
-        node.children = [c for c in node.children if isinstance(c, str) or not _boilerplate(c, inside)]
+        node.children = [c for c in node.children if isinstance(c, str) or not drop(c, inside)]
         todo.extend((c, inside) for c in node.children if not isinstance(c, str))
     return order
 
 
+def _pruned(root: Node) -> list[Node]:
+    """Cuts boilerplate off and returns what is left, parents first.
+
+    A class or id cuts no subtree off that holds an article or main element or most of the paragraph text outside links; the
+    words then hold within it.
+    """
+    order = _walk(root, _boilerplate)
+    if not any(_named(x, False) for x in order):
+        return order
+    para, whole, text = set(), set(), {}
+    for x in order:  # paragraph text: in paragraphs and the like, articles and main elements, or all if there is none
+        if x.tag in ("p", "pre", "td", "blockquote", "li", "dd", "h1", "h2", "h3", "article", "main") or x.parent is not None and id(x.parent) in para:
+            para.add(id(x))
+    for some in (True, False):
+        text = {id(x): sum(len(c.strip()) for c in x.children if isinstance(c, str)) if not some or id(x) in para else 0 for x in order}
+        for x in reversed(order):
+            if x.parent is not None and x.tag != "a":
+                text[id(x.parent)] += text[id(x)]
+        if text[id(root)]:
+            break
+    for x in reversed(order):
+        if x.parent is not None and (x.tag in ("article", "main") or id(x) in whole):
+            whole.add(id(x.parent))
+    most = text[id(root)] / 2
+    return _walk(root, lambda x, inside: _named(x, inside) and id(x) not in whole and text[id(x)] <= most)
+
+
 def _score(order: list[Node]) -> None:
     for node in reversed(order):
         for c in node.children:

@@ -93,6 +93,14 @@ def test_html_keeps_all_of_an_article():
     assert html_text.extract(f"<article><p>teaser</p></article><div><div>{many}</div></div><div><div>{few}</div></div>") == "\n".join(["teaser", *[p] * 65])
 
 
+def test_html_wrappers_named_like_boilerplate():
+    p = f"<p>{'word, ' * 5 + 'x' * 270}</p>"
+    text, ad = p[3:-4], '<div class="ad">Buy, now</div>'
+    for page in (f'<div class="content-sidebar-wrap"><main>{p}</main>{ad}</div>', f'<div class="content has-sidebar"><article>{p}</article>{ad}</div>', f'<div id="page" class="no-banner">{p}{ad}</div>', f'<div class="header-layout"><article>{p}</article></div>'):
+        assert html_text.extract(f"<html><body>{page}</body></html>") == text
+    assert html_text.extract(f'<article>{p}</article><div class="related">{p[:99]}</p></div>{ad}') == text
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(0)
     f = langid.Field(["a", "b", "c"])
