@@ -6,8 +6,8 @@ probabilities, also in code-switched text, and a text's language is the one with
 
 Everything runs in numpy over batches of whole texts: n-gram weights are looked up for all characters at once, and
 forward-backward works on all chunks of ``CHUNK`` words at once - first each chunk's transfer matrix, then the messages from chunk
-to chunk, then the words within chunks - which is exact. The field is fitted on a bounded sample: about ``SAMPLE`` documents of
-each language, of at most ``MAX_CHARS`` code points, chosen by hash.
+to chunk, then the words within chunks - which is exact. The field is fitted on a sample: about ``SAMPLE`` different texts of every
+language, of each its first ``MAX_CHARS`` code points, chosen by hash. Memory grows with the square of the number of languages.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..tables import table
 
-SAMPLE, MAX_CHARS, MAX_LANGS = 80, 20_000, 200
+SAMPLE, MAX_CHARS = 80, 20_000
 ROWS = 1 << 16
 LEXICON = 400
 CHUNK = 32
@@ -233,15 +233,23 @@ def train(texts: list[str], langs: list[str], rounds: int = ROUNDS) -> Field:
 
 
 def sample(docs: DataFrame, per_lang: int = SAMPLE, max_chars: int = MAX_CHARS) -> tuple[list[str], list[str]]:
-    """About ``per_lang`` texts of each of the ``MAX_LANGS`` most frequent languages, chosen by hash of the text; copies of a text count once."""
-    known = docs.where("lang is not null and text is not null").where(F.length("text") <= max_chars)
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not counts:
-        return [], []
-    spot = F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1_000_000))
-    shares = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1_000_000, math.ceil(1_000_000 * per_lang / r["count"])))))
-    got = known.where(spot < shares[F.col("lang")]).select("text", "lang").distinct().limit(3 * per_lang * len(counts)).collect()
-    return [r["text"] for r in got], [r["lang"] for r in got]
+    """About ``per_lang`` texts of each language (half as many at least, or all), chosen by hash of the text; copies of a text count once, and of longer texts the first ``max_chars`` code points are taken."""
+    known = docs.where("lang is not null and text is not null").select(F.substring("text", 1, max_chars).alias("text"), "lang")
+    known = known.withColumn("hash_", F.xxhash64(F.lit("sample"), "text"))
+    counts = {r["lang"]: r["count"] for r in known.select("lang", "hash_").distinct().groupBy("lang").count().collect()}
+    whole, times, texts, langs = 10**12, 1, [], []
+    while counts:
+        shares = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(whole, math.ceil(whole * per_lang * times / n)))))
+        got: dict[str, list[str]] = {lang: [] for lang in counts}
+        for r in known.where(F.pmod("hash_", F.lit(whole)) < shares[F.col("lang")]).select("text", "lang").distinct().collect():
+            got[r["lang"]].append(r["text"])
+        for lang, own in got.items():
+            if len(own) >= min(per_lang // 2, counts[lang]):
+                texts += own
+                langs += [lang] * len(own)
+                del counts[lang]
+        times *= 2  # hardly ever needed
+    return texts, langs
 
 
 def _parts(texts: list[str]) -> Iterator[tuple[int, int]]:

@@ -120,6 +120,17 @@ def test_media(docs):
     assert len(t["rgb"]) == t["height"] * t["width"] * 3
 
 
+def test_langid_sample_has_every_language(spark):
+    copies = spark.range(20_000).select(F.lit("the same text").alias("text"), F.lit("aa").alias("lang"))
+    rare = spark.range(100).select(F.concat(F.lit("other text "), F.col("id").cast("string")).alias("text"), F.lit("aa").alias("lang"))
+    many = spark.range(210).select(F.lit("x").alias("text"), F.concat(F.lit("l"), F.col("id").cast("string")).alias("lang"))
+    long = spark.createDataFrame([(LONG, "long")], "text string, lang string")
+    texts, langs = langid.sample(copies.unionByName(rare).unionByName(many).unionByName(long))
+    count = Counter(langs)
+    assert len(count) == 212 and 40 <= count["aa"] <= 101 and len(set(zip(texts, langs, strict=True))) == len(texts)
+    assert texts[langs.index("long")] == LONG[: langid.MAX_CHARS]
+
+
 def test_others_take_anything(spark, docs):
     empty = spark.createDataFrame([], DOC)
     field = langid.train(["the cat of the house"], ["en"])
