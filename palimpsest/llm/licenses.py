@@ -116,8 +116,8 @@ def scan(text: str | None) -> list[tuple[str, float, int, int]]:
         starts = sorted({i - j for w in rare for i in where.get(w, ()) for j in (k for k, x in enumerate(t) if x == w)})
         slack, done = max(2, len(t) // 4), -1
         for s in starts:
-            lo, hi = max(0, s - slack), min(len(ws), s + len(t) + slack)
-            if lo < done:
+            lo, hi = max(0, s - slack, done), min(len(ws), s + len(t) + slack)
+            if s + len(t) <= done:  # all of it lies in the last match
                 continue
             pairs = patience([w for w, _, _ in ws[lo:hi]], t)
             if len(pairs) >= COVERAGE * len(t):

@@ -71,6 +71,16 @@ def test_license_scan():
     assert [a[i] for i, _ in licenses.patience(a, b)] == list("abcdefg")
 
 
+@pytest.mark.parametrize("name", licenses.TEMPLATES)
+def test_license_scan_of_joined_notices(name):
+    t = licenses.TEMPLATES[name]
+    n = len(t.split())
+    for gap in (" ", " x ", " x y "):
+        for times in (2, 3, 5):
+            found = licenses.scan(gap.join([t] * times))
+            assert [x[0] for x in found] == [name] * times and all(x[1] == 1 for x in found), (n, gap, found)
+
+
 PAGE = """<html><head><title>t</title><script>var a="</p><p>no</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href=x>Home</a><li><a href=y>About</a></ul></nav>
 <div class="ad">Buy now, cheap, cheap</div><article><h1>Head &amp; more</h1><p>First   paragraph,
 with <b>bold</b> &eacute;.<p>Second<br>one<ul><li>item one<li>item two</ul></article><div id="comments"><p>Nice, post, really, good</p></div><form><p>search</p></form><footer>end</footer>"""
