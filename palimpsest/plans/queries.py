@@ -212,6 +212,25 @@ def newest_first(spark, sf_dir):
     return versions.newest_first([inc, versions.latest(e.where("event_id < 4000"), ["user_id"], "event_id")], ["user_id"])
 
 
+def _half(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """(first event_id of the upper half of the ids, first one beyond all)."""
+    n = table(spark, sf_dir, "events").agg(F.coalesce(F.max("event_id") + 1, F.lit(0))).first()[0]
+    return (n + 1) // 2, n
+
+
+_HALF_SQL = "h as (select (max(event_id) + 2) // 2 as cut, max(event_id) + 1 as n from events)"
+
+
+@query(f"""with {_HALF_SQL}, r as (select user_id, value, event_id, event_id >= cut as late, row_number() over(partition by user_id, event_id >= cut order by event_id desc) as rn from events, h),
+inc as (select user_id, value, event_id from r where late and rn = 1), base as (select user_id, value, event_id from r where not late and rn = 1)
+select * from inc union all select * from base b where not exists (select 1 from inc where inc.user_id = b.user_id)""")
+def newest_first_whole(spark, sf_dir):
+    """``newest_first`` over all events: the upper half of the ids before the lower."""
+    e = table(spark, sf_dir, "events").select("user_id", "value", "event_id")
+    cut, _ = _half(spark, sf_dir)
+    return versions.newest_first([versions.latest(e.where(w), ["user_id"], "event_id") for w in (F.col("event_id") >= cut, F.col("event_id") < cut)], ["user_id"])
+
+
 @query("""with s as (select 0 as step, user_id as pgno, max_by(value, event_id) as data from events where event_id < 3000 group by user_id
  union all select 1, user_id, max_by(value, event_id) from events where event_id >= 3000 and event_id < 6000 and user_id <= 60 group by user_id
  union all select 2, user_id, max_by(value, event_id) from events where event_id >= 6000 group by user_id)
@@ -370,13 +389,26 @@ def page_lookup(spark, sf_dir):
 select min_txid::bigint as min_txid, max_txid::bigint as max_txid, pgno, max(event_id)::varchar as data from f group by min_txid, max_txid, pgno""")
 def ltx_files(spark, sf_dir):
     """Two change files, written by the sink ``ltx`` under the shared folder and read by the source with their checksums verified."""
+    return _written(spark, sf_dir, [(0, 4000), (4000, 8000)])
+
+
+@query(f"""with {_HALF_SQL}, f as (select event_id, user_id + 1 as pgno, case when event_id < cut then 1 else cut + 1 end as min_txid, case when event_id < cut then cut else n end as max_txid from events, h)
+select min_txid::bigint as min_txid, max_txid::bigint as max_txid, pgno, max(event_id)::varchar as data from f group by min_txid, max_txid, pgno""")
+def ltx_files_whole(spark, sf_dir):
+    """``ltx_files`` over all events, a file for each half of the ids."""
+    cut, n = _half(spark, sf_dir)
+    return _written(spark, sf_dir, [(0, cut), (cut, n)])
+
+
+def _written(spark: SparkSession, sf_dir: str, ranges: list[tuple[int, int]]) -> DataFrame:
+    """Pages of files of these event ids (end exclusive), written and read again."""
     datasources.register(spark)
     root = f"{shared_dir(spark).removeprefix('file:')}/palimpsest/ltx-{uuid.uuid4().hex}".replace("//", "/")
     e = table(spark, sf_dir, "events").select((F.col("user_id") + 1).alias("pgno"), F.col("event_id"))
-    for low in (0, 4000):
-        pages = versions.latest(e.where((F.col("event_id") >= low) & (F.col("event_id") < low + 4000)), ["pgno"], "event_id")
+    for low, high in ranges:
+        pages = versions.latest(e.where((F.col("event_id") >= low) & (F.col("event_id") < high)), ["pgno"], "event_id")
         pages = pages.select("pgno", F.rpad(F.col("event_id").cast("string"), 512, " ").cast("binary").alias("data"))
-        how = {"path": root, "level": 0, "page_size": 512, "commit": 2**31 - 1, "min_txid": low + 1, "max_txid": low + 4000}
+        how = {"path": root, "level": 0, "page_size": 512, "commit": 2**31 - 1, "min_txid": low + 1, "max_txid": high}
         pages.coalesce(1).write.format("ltx").options(**how).mode("append").save()
     got = spark.read.format("ltx").option("path", root).option("verify", "true").load()
     return got.select("min_txid", "max_txid", "pgno", F.rtrim(F.col("data").cast("string")).alias("data"))

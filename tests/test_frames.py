@@ -113,3 +113,11 @@ def test_columns(spark):
     assert [tuple(r) for r in df.select(level, lo, hi, C.timestamp_ms(F.col("t"))).collect()] == [(9, 1, 255, 1700000000000), (None, None, None, 1700000000000), (None, None, None, None)]
     assert spark.range(1).select(C.hex16(F.lit(cs.signed(cs.FLAG | 5)))).first()[0] == "8000000000000005"
     assert [r[0] for r in spark.range(510, 515).where(C.is_page_size(F.col("id"))).collect()] == [512]
+
+
+def test_whole_queries_reach_the_last_event(spark):
+    folder = "/root/testdata/sf0.1"  # the fixed bounds of newest_first and ltx_files lie below its last events
+    last = spark.read.parquet(f"{folder}/events.parquet").agg({"event_id": "max"}).first()[0]
+    assert queries.QUERIES["newest_first_whole"](spark, folder).agg({"event_id": "max"}).first()[0] == last
+    files = queries.QUERIES["ltx_files_whole"](spark, folder).selectExpr("max(cast(data as bigint))", "min(min_txid)", "max(max_txid)").first()
+    assert tuple(files) == (last, 1, last + 1)
