@@ -2,9 +2,10 @@
 
 A page becomes a tree (HTML's usual implied end tags are supplied). Boilerplate subtrees go first: menus, page headers, footers,
 sidebars, notices, adverts, forms, scripts, styles, reader comments, by tag, role and whole class or id words (the words spare what
-holds an article, a main element or most of the paragraph text). Each paragraph then gives points for its length and commas to its parent and, at half and a third, to the next two ancestors; a container's points
-are discounted by its link density. From the best container it goes up to the outermost article or main element around it, and all
-such elements with paragraphs are kept whole, with siblings that score near the best container or are paragraphs with few links. If
+holds an article, a main element or most of the paragraph text; names such as has-sidebar or no-comments say nothing). Each
+paragraph then gives points for its length and commas to its parent and, at half and a third, to the next two ancestors; a
+container's points are discounted by its link density. From the best container it goes up to the outermost article or main element
+around it, and all such elements with paragraphs are kept whole, with all siblings, loose text too, that are not mostly links. If
 there is none, or if most paragraph text is outside them, it goes up until all paragraphs are held. All text of what is kept comes
 out, block by block.
 """
@@ -13,7 +14,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Callable
+from bisect import bisect_right
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,7 +39,10 @@ DROP_WORDS = set(
     "comment comments commentlist disqus respond replies reviews login search skip".split()
 )
 _IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"tbody", "thead", "tr", "td", "th"}, {"table"}), "thead": ({"tbody", "thead", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"})}
-_WORD = re.compile(r"[a-z0-9]+")
+_OUTSIDE_P, _KEEPS_P = BLOCKS - {"p"}, {"button", "td", "th", "table", "object"}
+_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+#: First parts of class names that say what an element has or has not, not what it is; fixed.
+_TELLS_OF = {"has", "no", "not", "with", "without", "is", "hide", "show", "non"}
 
 
 class Node:
@@ -50,16 +55,56 @@ class Node:
         self.own = 0
 
 
+class _Tree:
+    """The page's tree while it is built. Where each tag is open is kept by tag, so nesting costs no walk over the ancestors."""
+
+    def __init__(self) -> None:
+        self.root = Node("#root", {}, None)
+        self.open: list[Node] = [self.root]
+        self.at: dict[str, list[int]] = {}
+
+    @property
+    def top(self) -> Node:
+        return self.open[-1]
+
+    def last(self, tag: str) -> int:
+        """Depth of the innermost open element of the tag; 0 if there is none."""
+        places = self.at.get(tag)
+        return places[-1] if places else 0
+
+    def innermost(self, tags: Iterable[str]) -> int:
+        return max((self.last(t) for t in tags), default=0)
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.open))
+        self.open.append(node)
+
+    def close(self, depth: int) -> None:
+        """Closes the element at the depth and all within."""
+        while len(self.open) > depth:
+            self.at[self.open.pop().tag].pop()
+
+    def outermost_within(self, tags: Iterable[str], depth: int) -> int:
+        """Depth of the outermost open element of the tags that is deeper than ``depth``; 0 if there is none."""
+        found = 0
+        for t in tags:
+            places = self.at.get(t, ())
+            i = bisect_right(places, depth)
+            if i < len(places):
+                found = min(found or places[i], places[i])
+        return found
+
+
 def parse(page: str) -> Node:
     """The page's tree; children are nodes and strings, in page order."""
-    root = Node("#root", {}, None)
-    at, i, n = root, 0, len(page)
+    tree = _Tree()
+    i, n = 0, len(page)
     while i < n:
         if page[i] != "<":
             j = page.find("<", i)
             j = n if j < 0 else j
             x = page[i:j]
-            at.children.append(html.unescape(x) if "&" in x else x)
+            tree.top.children.append(html.unescape(x) if "&" in x else x)
             i = j
             continue
         m = _TOKEN.match(page, i)
@@ -67,50 +112,33 @@ def parse(page: str) -> Node:
             break
         i = m.end()
         if m["text"] is not None:
-            at.children.append((html.unescape(x) if "&" in (x := m["text"]) else x))
+            tree.top.children.append((html.unescape(x) if "&" in (x := m["text"]) else x))
         elif m["cdata"] is not None:
-            at.children.append(m["cdata"])
+            tree.top.children.append(m["cdata"])
         elif m["tag"] is not None:
             tag = m["tag"].lower()
             if m["close"]:
-                if tag == "p" and not _open(at, "p", BLOCKS - {"p"}):
-                    continue
-                up = at
-                while up is not root and up.tag != tag:
-                    up = up.parent
-                if up is not root:
-                    at = up.parent
+                if (at := tree.last(tag)) and (tag != "p" or at > tree.innermost(_OUTSIDE_P)):
+                    tree.close(at)
                 continue
-            if tag in CLOSES_P and (p := _open(at, "p", {"button", "td", "th", "table", "object"})):
-                at = p.parent
+            if tag in CLOSES_P and (at := tree.last("p")) > tree.innermost(_KEEPS_P):
+                tree.close(at)
             if tag in _IMPLIED:
                 ends, within = _IMPLIED[tag]
-                up, last = at, None
-                while up is not root and up.tag not in within:
-                    last = up if up.tag in ends else last
-                    up = up.parent
-                if last is not None:
-                    at = last.parent
+                if at := tree.outermost_within(ends, tree.innermost(within)):
+                    tree.close(at)
             attrs = {a[0].lower(): html.unescape(a[1] or a[2] or a[3]) for a in _ATTR.findall(m["attrs"] or "")}
-            node = Node(tag, attrs, at)
-            at.children.append(node)
+            node = Node(tag, attrs, tree.top)
+            tree.top.children.append(node)
             if tag in VOID or m["self"] and tag not in BLOCKS | RAW:
                 continue
             if tag in RAW:
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, i)
+                end = _END[tag].search(page, i)
                 node.children.append(page[i : end.start() if end else n])
                 i = end.end() if end else n
                 continue
-            at = node
-    return root
-
-
-def _open(at: Node | None, tag: str, stop: set[str]) -> Node | None:
-    while at is not None and at.tag not in stop:
-        if at.tag == tag:
-            return at
-        at = at.parent
-    return None
+            tree.push(node)
+    return tree.root
 
 
 def _boilerplate(node: Node, inside: bool) -> bool:
@@ -125,8 +153,11 @@ def _named(node: Node, inside: bool) -> bool:
     """By class or id."""
     if node.tag in ("article", "main", "body", "html"):
         return False
-    words = set(_WORD.findall(f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower()))
-    return bool(words & DROP_WORDS) or "header" in words and not inside
+    for name in f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower().split():
+        words = re.split(r"[^a-z0-9]+", name)
+        if words[0] not in _TELLS_OF and (not DROP_WORDS.isdisjoint(words) or "header" in words and not inside):
+            return True
+    return False
 
 
 def _walk(root: Node, drop: Callable[[Node, bool], bool]) -> list[Node]:
@@ -194,8 +225,8 @@ def _score(order: list[Node]) -> None:
         node.points *= 1 - node.links / node.chars if node.chars else 0
 
 
-def _kept(order: list[Node], best: Node) -> list[Node]:
-    """Subtrees that hold the main text, in page order; none lies in another."""
+def _kept(order: list[Node], best: Node) -> list[Node | str]:
+    """Subtrees that hold the main text, in page order, and loose text beside them; none lies in another."""
     held = {id(x): x.own for x in order}  # paragraph text of each subtree
     for x in reversed(order):
         if x.parent is not None:
@@ -219,20 +250,15 @@ def _kept(order: list[Node], best: Node) -> list[Node]:
         while at.parent is not None and held[id(at)] < total:
             at = at.parent
         return [at]
-    keep, floor = {id(x) for x in tops}, max(10.0, 0.2 * best.points)
-    for x in outer.parent.children:
-        if isinstance(x, str):
-            continue
-        few = x.chars and x.links / x.chars < 0.25
-        if x.points >= floor or few and x.tag in ("p", "h1", "h2", "h3", "pre", "blockquote") and (x.chars >= 25 or x.tag[0] == "h"):
-            keep.add(id(x))
-    out, todo = [], [order[0]]
+    keep = {id(x) for x in tops} | {id(x) for x in outer.parent.children if isinstance(x, str) or x.chars and x.links <= x.chars / 2}
+    out: list[Node | str] = []
+    todo: list[Node | str] = [order[0]]
     while todo:
         x = todo.pop()
         if id(x) in keep:
             out.append(x)
-        else:
-            todo.extend(c for c in reversed(x.children) if not isinstance(c, str))
+        elif not isinstance(x, str):
+            todo.extend(reversed(x.children))
     return out
 
 
@@ -272,9 +298,11 @@ def extract(page: str | None) -> str:
     _score(order)
     containers = [x for x in order if x.points > 0 and x.tag not in ("#root", "html")]
     best = max(containers, key=lambda x: x.points, default=order[0])
+    # under one node, so that loose text and inline elements that follow each other make one block
+    main = Node("div", {}, None)
+    main.children = _kept(order, best)
     out: list[str] = []
-    for x in _kept(order, best):
-        _blocks(x, out)
+    _blocks(main, out)
     return "\n".join(out)
 
 
