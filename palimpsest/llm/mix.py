@@ -4,9 +4,9 @@ Each source gets a token target. A source whose target is several times its size
 the rest is selected by exponential keys -ln(u) / quality, smallest first, until the words add up. The document on the boundary
 gives part of its words.
 
-Nothing sorts a whole source: keys fall into ranges of about ``BUCKET`` documents, sums by range (pre-aggregated) show which range
-holds the boundary, and only that range is sorted. What a document gives then follows from its source's boundary key alone, so
-the result is a join with one row a source.
+Nothing sorts a whole source: sums by range of keys (pre-aggregated) show which range holds the boundary, that range is cut again
+until it holds ``BUCKET`` documents or fewer, and only these are sorted. What a document gives then follows from its source's
+boundary key alone, so the result is a join with one row a source.
 """
 
 from __future__ import annotations
@@ -14,12 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..staging import cut
+from ..staging import cut, drop
 from ..tables import table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MAX_REPEAT = 1.5, 2
-BUCKET = 4096
+BUCKET, BINS = 4096, 4096
 SEED = "mix"
 _JUNK = "[#*$%&|<>!0-9]"
 
@@ -67,20 +67,37 @@ def targets(slim: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return df.select("source", "source_size", "n", F.coalesce(F.least("limit", F.col("w") * F.col("level")), F.col("limit")).alias("target"))
 
 
+def _boundaries(slim: DataFrame, src: DataFrame) -> DataFrame:
+    """(source, rest, low, high, start_, n): of each source the range of keys that holds the boundary, and the words before it.
+
+    The range is cut in ``BINS`` by key and the one that holds the boundary is taken, until none holds over ``BUCKET`` rows or only
+    one key is left. Sums are pre-aggregated; a round reads what is left of the range before.
+    """
+    me = src.select(F.col("source").alias("s_"), "rest")
+    whole = slim.groupBy("source").agg(F.min("key_").alias("low"), F.max("key_").alias("high"), F.sum("size").alias("words"), F.count("*").alias("n"))
+    now = whole.join(me, whole["source"].eqNullSafe(me["s_"])).where("rest < words").select("source", "rest", "low", "high", F.lit(0).cast("long").alias("start_"), "n")
+    now = cut(now, "ranges")
+    while not now.where((F.col("n") > BUCKET) & (F.col("low") < F.col("high"))).isEmpty():
+        known = now.select(F.col("source").alias("s_"), "rest", "low", "high", "start_")
+        rows = slim.join(known, slim["source"].eqNullSafe(known["s_"]) & slim["key_"].between(F.col("low"), F.col("high")))
+        width = F.col("high") - F.col("low")
+        bin_ = F.when(width > 0, F.least(F.floor((F.col("key_") - F.col("low")) / width * BINS), F.lit(BINS - 1))).otherwise(F.lit(0))
+        sums = rows.groupBy("source", "rest", "start_", bin_.alias("bin")).agg(F.min("key_").alias("low"), F.max("key_").alias("high"), F.sum("size").alias("words"), F.count("*").alias("n"))
+        order = Window.partitionBy("source").orderBy("bin")  # at most BINS rows
+        sums = sums.withColumn("start_", F.col("start_") + F.sum("words").over(order) - F.col("words"))
+        new = cut(sums.where("start_ <= rest and rest < start_ + words").select("source", "rest", "low", "high", "start_", "n"), "ranges")
+        drop(now)
+        now = new
+    return now
+
+
 def plan(slim: DataFrame, **how) -> DataFrame:
     """One row a source: source_size, target, epochs, and the boundary (edge_key, edge_id, edge_size) with the words each row on it gives."""
     src = cut(targets(slim, **how), "targets")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     src = src.withColumn("epochs", epochs).withColumn("rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
-    src = src.withColumn("ranges", F.ceil(F.col("n") / BUCKET))
-    named = src.select(F.col("source").alias("source_"), "ranges", "rest")
-    spot = F.least(F.floor((1 - F.exp(-F.col("key_"))) * F.col("ranges")), F.col("ranges") - 1)
-    placed = slim.join(named, slim["source"].eqNullSafe(named["source_"])).withColumn("range_", spot)
-    sums = placed.groupBy("source", "range_", "rest").agg(F.sum("size").alias("words"))
-    up_to = Window.partitionBy("source").orderBy("range_")
-    edge = sums.withColumn("start_", F.sum("words").over(up_to) - F.col("words")).where("start_ <= rest and rest < start_ + words")
-    edge = edge.select(F.col("source").alias("s_"), F.col("range_").alias("r_"), "start_")
-    near = placed.join(edge, placed["source"].eqNullSafe(edge["s_"]) & (placed["range_"] == edge["r_"]))
+    spot = _boundaries(slim, src.select("source", "rest"))
+    near = slim.join(spot.select(F.col("source").alias("s_"), "rest", "low", "high", "start_"), slim["source"].eqNullSafe(F.col("s_")) & slim["key_"].between(F.col("low"), F.col("high")))
     runs = near.groupBy("source", "rest", "start_", "key_", "doc_id", "size").count()
     order = Window.partitionBy("source").orderBy("key_", F.asc_nulls_first("doc_id"), "size")
     all_ = F.col("size") * F.col("count")
