@@ -69,7 +69,7 @@ class Words:
         rows = []
         for n, (h, bad) in enumerate(((h2, None), (h3, first), (h4, first | second))):
             h = (h ^ (h >> np.uint32(15))) * k[4]
-            i = (h >> np.uint32(16)).astype(np.int32) | 1
+            i = np.maximum((h >> np.uint32(16)).astype(np.int32), 1)
             if bad is not None:
                 i[bad] = 0  # row 0 is never taught: no such window
             rows.append(i + n * ROWS)
@@ -252,11 +252,13 @@ def sample(docs: DataFrame, per_lang: int = SAMPLE, max_chars: int = MAX_CHARS)
     return texts, langs
 
 
-def _parts(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _parts(texts: list[str], labels: int) -> Iterator[tuple[int, int]]:
+    """Batches of whole texts, smaller where there are many labels: a chunk takes a matrix of labels by labels."""
+    most = BATCH_CHARS // max(1, (labels // 8) ** 2)
     at = 0
     while at < len(texts):
         end, n = at, 0
-        while end < len(texts) and (end == at or n + len(texts[end]) <= BATCH_CHARS):
+        while end < len(texts) and (end == at or n + len(texts[end]) <= most):
             n += len(texts[end])
             end += 1
         yield at, end
@@ -271,7 +273,7 @@ def labelled(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, names, scores = batch.column("text_").to_pylist(), [], []
-            for at, end in _parts(texts):
+            for at, end in _parts(texts, len(field.labels)):
                 n, s, _, _ = field.label(texts[at:end])
                 names += n
                 scores += s.tolist()
