@@ -47,3 +47,7 @@ class InvalidLevels(PalimpsestError):
 
 class Locked(PalimpsestError):
     pass
+
+
+class NotWal(PalimpsestError):
+    """A database that can't be brought into WAL mode."""

@@ -6,6 +6,7 @@ A CRC of joined parts follows from the parts' CRCs, so long inputs are cut into
 from __future__ import annotations
 
 import functools
+import struct
 
 import numpy as np
 
@@ -57,18 +58,27 @@ def combine(first: int, second: int, second_length: int) -> int:
 
 
 def crc64(data: bytes) -> int:
-    lanes = 64
+    """Long inputs go in lanes, more of them the longer the input; neighbouring lanes' CRCs are then joined in pairs."""
+    lanes = 1 << max(0, min(12, (len(data) // 64).bit_length() - 1))
     size = len(data) // lanes
-    if size < 16:
+    if lanes < 64:
         t, c = _table(), ONES
         for b in data:
             c = int(t[(c ^ b) & 255]) ^ c >> 8
         return c ^ ONES
-    out = 0
-    for k, c in enumerate(crc64_rows(np.frombuffer(data, np.uint8, lanes * size).reshape(lanes, size))):
-        out = combine(out, int(c), size) if k else int(c)
-    rest = data[lanes * size :]
-    return combine(out, crc64(rest), len(rest)) if rest else out
+    crcs = crc64_rows(np.frombuffer(data, np.uint8, lanes * size).reshape(lanes, size))
+    while len(crcs) > 1:
+        crcs = _apply_all(_zeros(size), crcs[::2]) ^ crcs[1::2]
+        size *= 2
+    rest = data[size:]
+    return combine(int(crcs[0]), crc64(rest), len(rest)) if rest else int(crcs[0])
+
+
+def _apply_all(op: tuple[int, ...], x: np.ndarray) -> np.ndarray:
+    out = np.zeros_like(x)
+    for i, v in enumerate(op):
+        out ^= np.where(x >> np.uint64(i) & np.uint64(1), np.uint64(v), np.uint64(0))
+    return out
 
 
 def page_checksums(pgnos: list[int], pages: list[bytes]) -> list[int]:
@@ -103,3 +113,12 @@ def wal_checksums(rows: np.ndarray, seeds: np.ndarray, big: bool) -> tuple[np.nd
         s0 = s0 + words[:, i] + s1
         s1 = s1 + words[:, i + 1] + s0
     return s0, s1
+
+
+def wal_checksum_of(data: bytes, seed: tuple[int, int], big: bool) -> tuple[int, int]:
+    """``wal_checksum`` for one short input, without arrays."""
+    s0, s1 = seed
+    for a, b in struct.iter_unpack(">2I" if big else "<2I", data):
+        s0 = s0 + a + s1 & 0xFFFFFFFF
+        s1 = s1 + b + s0 & 0xFFFFFFFF
+    return s0, s1

@@ -1,6 +1,7 @@
 """Spark data sources: ``wal`` (batch and stream), ``ltx``, ``ltx_headers``, ``sqlite_pages``, and ``ltx`` as a sink.
 
-Paths are files or folders that every executor can open. ``register(spark)`` makes them known to a session.
+Paths are files or folders that every executor can open, local or by address (see ``paths``). ``register(spark)`` makes them known
+to a session.
 """
 
 from __future__ import annotations
@@ -12,10 +13,11 @@ from dataclasses import dataclass
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
-from ..errors import NotContiguous
+from ..errors import Equivocation, NotContiguous
 from ..functions.checksums import signed
 from . import formats as fmt
-from .store import Store, durable_write, parse_name
+from . import paths
+from .store import Store, parse_name
 
 PAGES_A_TASK = 4096
 WAL_SCHEMA = "wal string, page_size int, frame_no long, offset long, pgno long, commit long, salt1 long, salt2 long, checksum1 long, checksum2 long, ok boolean, data binary"
@@ -31,9 +33,9 @@ class Range(InputPartition):
 
 
 def _files(path: str) -> list[str]:
-    if os.path.isfile(path):
+    if parse_name(path.rpartition("/")[2]):
         return [path]
-    return sorted(os.path.join(d, n) for d, _, names in os.walk(path) for n in names if parse_name(n))
+    return sorted(p for p, _, _ in paths.listing(path, deep=True) if parse_name(p.rpartition("/")[2]))
 
 
 def _level(path: str) -> int | None:
@@ -43,20 +45,24 @@ def _level(path: str) -> int | None:
         return None
 
 
+def _stored_seed(h: fmt.WalHeader, f, start: int) -> tuple[int, int] | None:
+    """Checksum stored with the frame before, whatever its salts: a scan shows all frames and says which are not valid."""
+    if start <= fmt.WAL_HEADER:
+        return None
+    f.seek(start - h.frame_size + 16)
+    return tuple(int.from_bytes(f.read(4), "big") for _ in range(2))
+
+
 def _frames(path: str, start: int, end: int) -> Iterator[tuple]:
-    with open(path, "rb") as f:
+    with paths.open_read(path) as f:
         h = fmt.wal_header(f.read(fmt.WAL_HEADER))
-        seed = None
-        if start > fmt.WAL_HEADER:
-            f.seek(start - h.frame_size + 16)
-            seed = tuple(int.from_bytes(f.read(4), "big") for _ in range(2))
-        f.seek(start)
-        for x in fmt.wal_frames(h, f.read(end - start), start, seed):
-            yield path, h.page_size, x.frame_no, x.offset, x.pgno, x.commit, x.salt1, x.salt2, x.checksum1, x.checksum2, x.ok, x.data
+        for block in fmt.frame_blocks(h, f, start, _stored_seed(h, f, start), end):
+            for x in block:
+                yield path, h.page_size, x.frame_no, x.offset, x.pgno, x.commit, x.salt1, x.salt2, x.checksum1, x.checksum2, x.ok, x.data
 
 
 def _wal_ranges(path: str, start: int, end: int) -> list[Range]:
-    with open(path, "rb") as f:
+    with paths.open_read(path) as f:
         h = fmt.wal_header(f.read(fmt.WAL_HEADER))
     step = PAGES_A_TASK * h.frame_size
     return [Range(path, x, min(end, x + step)) for x in range(max(start, fmt.WAL_HEADER), end, step)]
@@ -67,7 +73,10 @@ class WalReader(DataSourceReader):
         self.path, self.start = path, start
 
     def partitions(self) -> list[Range]:
-        return _wal_ranges(self.path, self.start, os.path.getsize(self.path))
+        with paths.open_read(self.path) as f:
+            h = fmt.wal_header(f.read(fmt.WAL_HEADER))
+            fmt.seed_before(h, f, self.start)  # an offset that no frame of this generation ends at is an error
+        return _wal_ranges(self.path, self.start, paths.size(self.path))
 
     def read(self, part: Range) -> Iterator[tuple]:
         return _frames(part.path, part.start, part.end)
@@ -83,20 +92,15 @@ class WalStream(DataSourceStreamReader):
         return {"salt": "", "offset": fmt.WAL_HEADER}
 
     def latestOffset(self) -> dict:
-        """Reads the header and what follows the last offset of the same generation."""
+        """Reads the header and what follows the last offset of the same generation, a block at a time."""
         try:
-            with open(self.path, "rb") as f:
+            with paths.open_read(self.path) as f:
                 h = fmt.wal_header(f.read(fmt.WAL_HEADER))
                 salt = f"{h.salt1:08x}{h.salt2:08x}"
-                start, seed = (self.seen["offset"] if self.seen["salt"] == salt else fmt.WAL_HEADER), None
-                if start > fmt.WAL_HEADER:
-                    f.seek(start - h.frame_size + 16)
-                    seed = tuple(int.from_bytes(f.read(4), "big") for _ in range(2))
-                f.seek(start)
-                tail = f.read()
+                start = self.seen["offset"] if self.seen["salt"] == salt else fmt.WAL_HEADER
+                _, _, end = fmt.committed_offsets(h, f, start)
         except (FileNotFoundError, fmt.FormatError):
             return self.initialOffset()
-        _, _, end = fmt.page_map(h, fmt.wal_frames(h, tail, start, seed))
         self.seen = {"salt": salt, "offset": max(end, start)}
         return dict(self.seen)
 
@@ -146,18 +150,18 @@ class LtxReader(DataSourceReader):
         return [Range(x) for x in _files(self.path)]
 
     def read(self, part: Range) -> Iterator[tuple]:
-        level, size = _level(part.path), os.path.getsize(part.path)
-        with open(part.path, "rb") as f:
+        level, size = _level(part.path), paths.size(part.path)
+        with paths.open_read(part.path) as f:
 
             def at(offset: int, n: int) -> bytes:
                 f.seek(offset)
                 return f.read(n)
 
             if self.verify:
-                fmt.read_ltx(at(0, size))
+                fmt.verify_ltx(at, size)
             h = fmt.ltx_header(at(0, fmt.LTX_HEADER))
             start, n = fmt.index_range(at(size - 24, 24), size)
-            for pgno, offset, length in fmt.page_index(at(start, n)):
+            for pgno, offset, length in fmt.iter_index(at(start, n)):
                 if self.wanted is None or pgno in self.wanted:
                     yield level, h.min_txid, h.max_txid, pgno, offset, length, fmt.page_frame(at(offset, length), h.page_size)[1]
 
@@ -172,7 +176,7 @@ class HeaderReader(DataSourceReader):
 
     def read(self, part: Range) -> Iterator[tuple]:
         for path in part.path.split("\n"):
-            with open(path, "rb") as f:
+            with paths.open_read(path) as f:
                 h = fmt.ltx_header(f.read(fmt.LTX_HEADER))
                 f.seek(-fmt.TRAILER, os.SEEK_END)
                 post, crc = (int.from_bytes(f.read(8), "big") for _ in range(2))
@@ -187,21 +191,47 @@ class Written(WriterCommitMessage):
 
 
 class LtxWriter(DataSourceWriter):
-    """One file. Rows (pgno, data) must come in one partition; the file appears under its name at commit."""
+    """One file. Rows (pgno, data) must come in one partition, in any order; the file appears under its name at commit.
+
+    Pages go through a spool file beside the target, so memory holds an index entry a page. A commit over other bytes of the same name is an ``Equivocation`` (or replaces them in mode overwrite).
+    """
 
     def __init__(self, options: dict, overwrite: bool):
         self.options, self.overwrite = options, overwrite
 
     def write(self, rows: Iterator) -> Written:
         o = self.options
-        pages = sorted((r["pgno"], bytes(r["data"])) for r in rows)
-        if not pages:
-            return Written(0, "", "")
         h = fmt.LtxHeader(fmt.NO_CHECKSUM, int(o["page_size"]), int(o["commit"]), int(o["min_txid"]), int(o["max_txid"]), int(o.get("timestamp", 0)))
         path = Store(o["path"]).path(int(o.get("level", 0)), h.min_txid, h.max_txid)
-        tmp = f"{path}.{os.getpid()}.part"
-        durable_write(tmp, fmt.write_ltx(h, pages))
-        return Written(len(pages), tmp, path)
+        spool = paths.Upload(f"{path}.spool")
+        places: list[tuple[int, int]] = []
+        try:
+            for i, r in enumerate(rows):
+                if len(r["data"]) != h.page_size:
+                    raise fmt.FormatError(f"page {r['pgno']} has {len(r['data'])} bytes")
+                spool.write(bytes(r["data"]))
+                places.append((r["pgno"], i))
+            spool.finish()
+            if not places:
+                return Written(0, "", "")
+            places.sort()
+            up = paths.Upload(path)
+            try:
+                with open(spool.tmp, "rb") if spool.fs is None else spool.fs.open_input_file(spool.tmp) as f:
+
+                    def pages() -> Iterator[tuple[int, bytes]]:
+                        for pgno, i in places:
+                            f.seek(i * h.page_size)
+                            yield pgno, f.read(h.page_size)
+
+                    fmt.write_ltx_to(up.write, h, pages())
+                up.finish()
+            except BaseException:
+                up.abort()
+                raise
+            return Written(len(places), up.tmp, path)
+        finally:
+            spool.abort()
 
     def commit(self, messages: list) -> None:
         done = [m for m in messages if m is not None and m.rows]
@@ -209,12 +239,16 @@ class LtxWriter(DataSourceWriter):
             self.abort(messages)
             raise NotContiguous("a file needs its pages in one partition")
         for m in done:
-            os.replace(m.tmp, m.path)
+            up = paths.Upload.written(m.path, m.tmp)
+            if self.overwrite:
+                up.publish()
+            elif up.publish_if_absent() is False:
+                raise Equivocation(m.path)
 
     def abort(self, messages: list) -> None:
         for m in messages:
-            if m is not None and m.tmp and os.path.exists(m.tmp):
-                os.remove(m.tmp)
+            if m is not None and m.tmp:
+                paths.Upload.written(m.path, m.tmp).abort()
 
 
 class Ltx(DataSource):
@@ -251,13 +285,13 @@ class PageReader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> list[Range]:
-        n = os.path.getsize(self.path) // page_size(self.path)
+        n = paths.size(self.path) // page_size(self.path)
         return [Range(self.path, i, min(n, i + PAGES_A_TASK)) for i in range(0, n, PAGES_A_TASK)]
 
     def read(self, part: Range) -> Iterator[tuple]:
         size = page_size(part.path)
         lock = fmt.lock_page(size)
-        with open(part.path, "rb") as f:
+        with paths.open_read(part.path) as f:
             f.seek(part.start * size)
             for i in range(part.start + 1, part.end + 1):
                 data = f.read(size)
@@ -266,7 +300,7 @@ class PageReader(DataSourceReader):
 
 
 def page_size(path: str) -> int:
-    with open(path, "rb") as f:
+    with paths.open_read(path) as f:
         n = int.from_bytes(f.read(18)[16:18], "big")
     return 65536 if n == 1 else n
 

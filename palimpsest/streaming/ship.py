@@ -9,7 +9,6 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.frames import page_map
 from ..sources import formats as fmt
 from ..sources.datasources import register
-from ..sources.store import Store
 
 
 def ship_wal(spark: SparkSession, wal: str, replica: str, checkpoint: str, timestamp_ms: int = 0, first_txid: int = 1) -> StreamingQuery:
@@ -18,17 +17,15 @@ def ship_wal(spark: SparkSession, wal: str, replica: str, checkpoint: str, times
     The first file holds what the WAL has; ship a snapshot first if pages were checkpointed before.
     """
     register(spark)
-    store = Store(replica)
-
     def batch(df: DataFrame, n: int) -> None:
         last = df.where("commit <> 0").agg(F.max_by("commit", "frame_no"), F.max("page_size")).first()
         if last[0] is None:
             return
         commit, size = last
-        pages = page_map(df).where(F.col("pgno") != fmt.lock_page(size)).repartition(1).sortWithinPartitions("pgno")
-        rows = ((r["pgno"], bytes(r["data"])) for r in pages.select("pgno", "data").toLocalIterator())  # in page order; memory holds a partition's pages
+        pages = page_map(df).where(F.col("pgno") != fmt.lock_page(size)).coalesce(1)
         txid = first_txid + n
-        store.ship(0, txid, txid, fmt.write_ltx(fmt.LtxHeader(fmt.NO_CHECKSUM, size, commit, txid, txid, timestamp_ms), rows))
+        how = {"path": replica, "level": 0, "page_size": size, "commit": commit, "min_txid": txid, "max_txid": txid, "timestamp": timestamp_ms}
+        pages.select("pgno", "data").write.format("ltx").options(**how).mode("append").save()  # one task writes it, to the store's conditions
 
     stream = spark.readStream.format("wal").option("path", wal).load()
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
