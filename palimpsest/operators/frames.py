@@ -9,14 +9,19 @@ from pyspark.sql import functions as F
 def committed(frames: DataFrame, order: str = "frame_no", commit: Column | None = None, ok: Column | None = None) -> DataFrame:
     """Frames of the valid prefix up to its last commit, with ``commit_size``, the database's size after it.
 
-    The first bad frame and the last commit before it are two aggregates of one row each; no ordered window over the log.
+    One aggregate finds the first bad frame and the last commit; only where a frame is bad, a second one over what is before it
+    finds that part's last commit. Both give one row, and their values reach the scan as a filter. No ordered window over the log.
     """
     commit = F.col("commit") if commit is None else commit
     ok = F.coalesce(F.col("ok") if ok is None else ok, F.lit(False))
-    bad = frames.agg(F.coalesce(F.min(F.when(~ok, F.col(order))), F.lit(2**62)).alias("bad_"))
-    good = frames.join(F.broadcast(bad), F.col(order) < F.col("bad_")).drop("bad_")
-    last = good.where(commit != 0).agg(F.max(order).alias("last_"), F.max_by(commit, order).alias("commit_size"))
-    return good.join(F.broadcast(last), F.col(order) <= F.col("last_")).drop("last_")
+    at = F.when(commit != 0, F.col(order))
+    last = [F.max(at).alias("last"), F.max_by(commit, at).alias("size")]
+    got = frames.agg(F.min(F.when(~ok, F.col(order))).alias("bad"), *last).first()
+    if got["bad"] is not None:
+        got = frames.where(F.col(order) < F.lit(got["bad"])).agg(*last).first()
+    if got["last"] is None:
+        return frames.withColumn("commit_size", commit).where(F.lit(False))
+    return frames.where(F.col(order) <= F.lit(got["last"])).withColumn("commit_size", F.lit(got["size"]))
 
 
 def page_map(frames: DataFrame, order: str = "frame_no", key: str = "pgno", value: str = "data", **how) -> DataFrame:
@@ -37,8 +42,11 @@ def wholeness(pages: DataFrame, keys: list[str]) -> DataFrame:
     return got.withColumn("whole", (F.col("first_page") == 1) & (F.col("last_page") == F.col("pages")))
 
 
-def outcomes(writes: DataFrame, keys: list[str], body: list[Column]) -> DataFrame:
-    """Of each key what conditional puts give: Created, AlreadyIdentical or Conflict."""
-    text = F.concat_ws("|", *(c.cast("string") for c in body))
-    got = writes.groupBy(*keys).agg(F.count("*").alias("writes"), F.count_distinct(text).alias("versions"))
+def outcomes(writes: DataFrame, keys: list[str], body: list[str]) -> DataFrame:
+    """Of each key what conditional puts give: Created, AlreadyIdentical or Conflict.
+
+    Like writes are counted first, map-side and by key and body, so a key with very many of them does not meet in one task.
+    """
+    alike = writes.groupBy(*keys, *body).count()
+    got = alike.groupBy(*keys).agg(F.sum("count").alias("writes"), F.count("*").alias("versions"))
     return got.withColumn("outcome", F.when(F.col("writes") == 1, "Created").when(F.col("versions") == 1, "AlreadyIdentical").otherwise("Conflict"))

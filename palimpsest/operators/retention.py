@@ -5,17 +5,22 @@ The newest file of a level is always kept. Unknown age keeps a snapshot but does
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _rank(files: DataFrame) -> DataFrame:
-    return files.withColumn("rank_", F.row_number().over(Window.partitionBy("level").orderBy(F.desc("min_txid"), F.desc("max_txid"))))
+_KEY = ["min_txid", "max_txid"]
+
+
+def but_newest(files: DataFrame) -> DataFrame:
+    """All files but the newest of each level; one aggregate of a row a level, and a broadcast of these."""
+    newest = files.groupBy(F.col("level").alias("level_")).agg(F.max(F.struct(*_KEY)).alias("newest_"))
+    return files.join(F.broadcast(newest), F.col("level").eqNullSafe(F.col("level_")) & (F.struct(*_KEY) < F.col("newest_"))).select(*files.columns)
 
 
 def snapshots(files: DataFrame, cutoff: Column) -> DataFrame:
     """Files created before ``cutoff`` but the newest of each level."""
-    return _rank(files).where(F.col("created_at") < cutoff).where("rank_ > 1").drop("rank_")
+    return but_newest(files).where(F.col("created_at") < cutoff)
 
 
 def min_retained(files: DataFrame, cutoff: Column) -> DataFrame:
@@ -24,28 +29,20 @@ def min_retained(files: DataFrame, cutoff: Column) -> DataFrame:
 
 
 def below(files: DataFrame, txid: int) -> DataFrame:
-    return _rank(files).where(F.col("max_txid") < txid).where("rank_ > 1").drop("rank_")
+    return but_newest(files).where(F.col("max_txid") < txid)
 
 
 def level0(files: DataFrame, cutoff: Column, max_level1: int | None = None) -> DataFrame:
     """Level-0 files that level 1 holds already, up to the first that is newer than ``cutoff``; the newest only goes if such a stop was met before it.
 
-    ``max_level1`` defaults to the catalog's. The window runs over level 0's catalog rows.
+    ``max_level1`` defaults to the catalog's. One aggregate of one row says where to stop; no ordered window.
     """
-    zero = files.where("level = 0")
-    order = Window.partitionBy("level").orderBy("min_txid", "max_txid")
-    new = F.coalesce(F.col("created_at") > cutoff, F.lit(False))
-    top = files.where("level = 1").agg(F.coalesce(F.max("max_txid"), F.lit(0)).alias("top_")) if max_level1 is None else files.sparkSession.range(1).select(F.lit(max_level1).alias("top_"))
-    df = _rank(zero.withColumn("new_", new.cast("int"))).crossJoin(F.broadcast(top))  # top is one row
-    df = df.withColumn("stop_", F.max("new_").over(order))
-    any_new = F.max("new_").over(Window.partitionBy("level"))
-    df = df.withColumn("any_", any_new)
-    return df.where("stop_ = 0 and max_txid <= top_ and (any_ = 1 or rank_ > 1)").select(*files.columns)
-
-
-def but_newest(files: DataFrame) -> DataFrame:
-    """All files but the newest of each level."""
-    return _rank(files).where("rank_ > 1").drop("rank_")
+    zero, key = F.col("level") == 0, F.struct(*_KEY)
+    top = F.max(F.when(F.col("level") == 1, F.col("max_txid"))) if max_level1 is None else F.lit(max_level1)
+    stop = F.min(F.when(zero & (F.col("created_at") > cutoff), key))
+    marks = files.agg(F.coalesce(top, F.lit(0)).alias("top_"), stop.alias("stop_"), F.max(F.when(zero, key)).alias("newest_"))
+    gone = F.when(F.col("stop_").isNull(), key < F.col("newest_")).otherwise(key < F.col("stop_"))
+    return files.where(zero).join(F.broadcast(marks), (F.col("max_txid") <= F.col("top_")) & gone).select(*files.columns)
 
 
 def without(files: DataFrame, deleted: DataFrame) -> DataFrame:

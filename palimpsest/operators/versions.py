@@ -47,8 +47,8 @@ def overlaid(base: DataFrame, changes: DataFrame, commit: int, page_size: int, k
 
 
 def newest_first(steps: list[DataFrame], keys: list[str]) -> DataFrame:
-    """Rows of the first step that has a key, given newest first; each later step by anti-join with what is there."""
-    out = steps[0]
-    for s in steps[1:]:
-        out = out.unionByName(s.join(out.select(*keys), keys, "left_anti"))
-    return out
+    """Of each key the row of the first step that has it, given newest first; each step has one row a key. One union, one aggregate."""
+    every = steps[0].withColumn("step_", F.lit(0))
+    for i, s in enumerate(steps[1:], 1):
+        every = every.unionByName(s.withColumn("step_", F.lit(-i)))
+    return latest(every, keys, "step_").drop("step_")

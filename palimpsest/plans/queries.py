@@ -45,16 +45,17 @@ def log(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a file; the log is pre-aggregated on each task."""
+    """One row a file. The log is read once and summed up by day; a day then counts for its file on each level."""
     e = table(spark, sf_dir, "events").select("event_id", "ts")
-
-    def files(level: int, df: DataFrame, *by) -> DataFrame:
-        low = F.lit(1).cast("long") if level == 9 else F.min("event_id") + 1
-        return df.groupBy(*by).agg(low.alias("min_txid"), (F.max("event_id") + 1).alias("max_txid"), F.max("ts").alias("created_at")).select(F.lit(level).alias("level"), "min_txid", "max_txid", "created_at")
-
-    days = files(0, e, F.to_date("ts").alias("d"))
-    weeks = files(1, e.where(F.col("ts") < ntz("2024-01-22 00:00:00")), F.floor((F.dayofmonth("ts") - 1) / 7).alias("w"))
-    return days.unionByName(weeks).unionByName(files(9, e.where(F.col("ts") < ntz("2024-01-15 00:00:00"))).where("max_txid is not null"))
+    days = e.groupBy(F.to_date("ts").alias("d")).agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"), F.max("ts").alias("at"))
+    day = F.datediff("d", F.lit("1970-01-01").cast("date"))
+    week = F.floor((F.dayofmonth("d") - 1) / 7).cast("int")
+    on = [F.struct(F.lit(0).alias("level"), day.alias("nth"))]
+    on += [F.when(F.col("d") < F.lit(end).cast("date"), F.struct(F.lit(level).alias("level"), nth.alias("nth"))) for level, end, nth in ((1, "2024-01-22", week), (9, "2024-01-15", F.lit(0)))]
+    each = days.select(F.explode(F.array_compact(F.array(*on))).alias("on"), "lo", "hi", "at")
+    files = each.groupBy("on").agg(F.min("lo").alias("lo"), (F.max("hi") + 1).alias("max_txid"), F.max("at").alias("created_at"))
+    low = F.when(F.col("on.level") == 9, F.lit(1).cast("long")).otherwise(F.col("lo") + 1)
+    return files.select("on.level", low.alias("min_txid"), "max_txid", "created_at")
 
 
 @query("""with lc as (select max(event_id) as last_commit, max_by(40 + event_id % 100, event_id) as commit_sz from events where event_type='purchase')
@@ -195,21 +196,12 @@ case when count(*)=1 then 'Created' when count(distinct {body})=1 then 'AlreadyI
 @query(_outcome_sql("concat_ws('|',cast(l_partkey as varchar),cast(l_suppkey as varchar),l_returnflag)", "l_orderkey,l_linenumber", "lineitem"))
 def equivocation(spark, sf_dir):
     x = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
-    return frames.outcomes(x, ["l_orderkey", "l_linenumber"], [F.col(c) for c in ("l_partkey", "l_suppkey", "l_returnflag")])
+    return frames.outcomes(x, ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_returnflag"])
 
 
 @query(_outcome_sql("concat_ws('|',cast(l_returnflag as varchar))", "l_orderkey,l_linenumber", "lineitem"))
 def equivocation_identical(spark, sf_dir):
-    return frames.outcomes(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"), ["l_orderkey", "l_linenumber"], [F.col("l_returnflag")])
-
-
-@query("""with base as (select user_id, value, event_id from (select *, row_number() over(partition by user_id order by event_id desc) rn from events where event_id<4000) t where rn=1),
-inc as (select user_id, value, event_id from (select *, row_number() over(partition by user_id order by event_id desc) rn from events where event_id>=4000 and event_id<4100) t where rn=1)
-select * from inc union all select * from base b where not exists (select 1 from inc where inc.user_id=b.user_id)""")
-def newest_first(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", "value", "event_id")
-    inc = versions.latest(e.where("event_id >= 4000 and event_id < 4100"), ["user_id"], "event_id")
-    return versions.newest_first([inc, versions.latest(e.where("event_id < 4000"), ["user_id"], "event_id")], ["user_id"])
+    return frames.outcomes(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"), ["l_orderkey", "l_linenumber"], ["l_returnflag"])
 
 
 def _half(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
@@ -224,8 +216,8 @@ _HALF_SQL = "h as (select (max(event_id) + 2) // 2 as cut, max(event_id) + 1 as
 @query(f"""with {_HALF_SQL}, r as (select user_id, value, event_id, event_id >= cut as late, row_number() over(partition by user_id, event_id >= cut order by event_id desc) as rn from events, h),
 inc as (select user_id, value, event_id from r where late and rn = 1), base as (select user_id, value, event_id from r where not late and rn = 1)
 select * from inc union all select * from base b where not exists (select 1 from inc where inc.user_id = b.user_id)""")
-def newest_first_whole(spark, sf_dir):
-    """``newest_first`` over all events: the upper half of the ids before the lower."""
+def newest_first(spark, sf_dir):
+    """The upper half of the ids before the lower."""
     e = table(spark, sf_dir, "events").select("user_id", "value", "event_id")
     cut, _ = _half(spark, sf_dir)
     return versions.newest_first([versions.latest(e.where(w), ["user_id"], "event_id") for w in (F.col("event_id") >= cut, F.col("event_id") < cut)], ["user_id"])
@@ -242,14 +234,15 @@ def merge_shrunk(spark, sf_dir):
     return versions.merged([versions.latest(x, ["pgno"], "event_id").select("pgno", "data") for x in cuts], [2**31, 60, 2**31]).select("pgno", "data")
 
 
-@query("""select s.i as pgno, coalesce(c.value, b.value, -1.0::double) as data from range(1, 201) s(i)
+@query("""select s.i as pgno, coalesce(c.value, b.value, -1.0::double) as data from (select unnest(range(1, max(user_id) + 101)) as i from events) s
 left join (select user_id, max_by(value, event_id) as value from events where event_id >= 4000 group by user_id) c on c.user_id = s.i
 left join (select user_id, max_by(value, event_id) as value from events where event_id < 4000 group by user_id) b on b.user_id = s.i""")
 def overlay(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("pgno"), "event_id", F.col("value").alias("data"))
     new, old = (versions.latest(e.where(w), ["pgno"], "event_id") for w in ("event_id >= 4000", "event_id < 4000"))
     blank = F.lit(-1.0)
-    return versions.overlaid(old, new, 200, 4096, blank=blank)
+    size = table(spark, sf_dir, "events").agg(F.coalesce(F.max("user_id"), F.lit(0))).first()[0] + 100
+    return versions.overlaid(old, new, size, 4096, blank=blank)
 
 
 @query("select cast(floor(event_id/500) as bigint) as tick, max(event_id)+1 as live, case when max(event_id)+1 >= 8000 then 'TRUNCATE' when max(event_id)+1 >= 1000 then 'PASSIVE' else 'NONE' end as mode from events group by floor(event_id/500)")
@@ -385,17 +378,10 @@ def page_lookup(spark, sf_dir):
     return versions.latest(e, ["pgno"], "step")
 
 
-@query("""with f as (select event_id, user_id + 1 as pgno, case when event_id < 4000 then 1 else 4001 end as min_txid, case when event_id < 4000 then 4000 else 8000 end as max_txid from events where event_id < 8000)
-select min_txid::bigint as min_txid, max_txid::bigint as max_txid, pgno, max(event_id)::varchar as data from f group by min_txid, max_txid, pgno""")
-def ltx_files(spark, sf_dir):
-    """Two change files, written by the sink ``ltx`` under the shared folder and read by the source with their checksums verified."""
-    return _written(spark, sf_dir, [(0, 4000), (4000, 8000)])
-
-
 @query(f"""with {_HALF_SQL}, f as (select event_id, user_id + 1 as pgno, case when event_id < cut then 1 else cut + 1 end as min_txid, case when event_id < cut then cut else n end as max_txid from events, h)
 select min_txid::bigint as min_txid, max_txid::bigint as max_txid, pgno, max(event_id)::varchar as data from f group by min_txid, max_txid, pgno""")
-def ltx_files_whole(spark, sf_dir):
-    """``ltx_files`` over all events, a file for each half of the ids."""
+def ltx_files(spark, sf_dir):
+    """Two change files, one for each half of the ids, written by the sink ``ltx`` under the shared folder and read by the source with their checksums verified."""
     cut, n = _half(spark, sf_dir)
     return _written(spark, sf_dir, [(0, cut), (cut, n)])
 
@@ -403,7 +389,7 @@ def ltx_files_whole(spark, sf_dir):
 def _written(spark: SparkSession, sf_dir: str, ranges: list[tuple[int, int]]) -> DataFrame:
     """Pages of files of these event ids (end exclusive), written and read again."""
     datasources.register(spark)
-    root = f"{shared_dir(spark).removeprefix('file:')}/palimpsest/ltx-{uuid.uuid4().hex}".replace("//", "/")
+    root = f"{shared_dir(spark)}/palimpsest/ltx-{uuid.uuid4().hex}"
     e = table(spark, sf_dir, "events").select((F.col("user_id") + 1).alias("pgno"), F.col("event_id"))
     for low, high in ranges:
         pages = versions.latest(e.where((F.col("event_id") >= low) & (F.col("event_id") < high)), ["pgno"], "event_id")

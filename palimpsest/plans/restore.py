@@ -1,6 +1,6 @@
 """Restore planning: the chain of files that reaches furthest at every step, so with the fewest files.
 
-The catalog has a row a file. ``plan`` runs in the driver; ``plan_frame`` is the same for DataFrames of moderate catalogs.
+The catalog has a row a file. ``plan`` runs in the driver; ``plan_frame`` is the same for DataFrames.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import NoSnapshot, TxidTooOld
+from ..staging import cut
 
 Step = tuple[int, int, int]
 
@@ -41,13 +42,40 @@ def plan_to(files: Iterable[Step], txid: int) -> list[Step]:
         raise TxidTooOld(str(txid)) from e
 
 
-def plan_frame(catalog: DataFrame) -> DataFrame:
-    """(step, level, min_txid, max_txid) for a catalog that fits the driver: its rows are files, not pages."""
-    rows = catalog.select("level", "min_txid", "max_txid").collect()
+#: Files of a catalog that the driver plans by itself; beyond it the plan is made by joins.
+COLLECT = 200_000
+
+
+def plan_frame(catalog: DataFrame, collect: int = COLLECT) -> DataFrame:
+    """(step, level, min_txid, max_txid), by ``plan`` for catalogs of up to ``collect`` files and by ``followed`` for larger ones."""
+    rows = catalog.select("level", "min_txid", "max_txid").limit(collect + 1).collect()
+    if len(rows) > collect:
+        return followed(hops(catalog))
     steps = [(i + 1, *s) for i, s in enumerate(plan((r["level"], r["min_txid"], r["max_txid"]) for r in rows))]
     return catalog.sparkSession.createDataFrame(steps, "step int, level int, min_txid long, max_txid long")
 
 
+def followed(hops: DataFrame) -> DataFrame:
+    """The chain from position 0, by jumps that double: after round k all steps up to 2 ** k are there. Rounds are logarithmic."""
+    hops = cut(hops, "hops")
+    jump = cut(hops.select("pos", F.col("max_txid").alias("to")), "jumps")
+    got = cut(hops.where("pos = 0").select(F.lit(1).alias("step"), "level", "min_txid", "max_txid"), "chain")
+    if got.isEmpty():
+        raise NoSnapshot("no file starts at transaction 1")
+    reach = 1
+    while True:
+        # everything reached so far, moved on by as many steps as there are
+        on = got.join(jump, F.col("max_txid") == F.col("pos")).select((F.col("step") + reach).alias("step"), F.col("to").alias("end_"))
+        ends = on.join(hops.select("level", "min_txid", "max_txid"), F.col("end_") == F.col("max_txid"))
+        best = ends.groupBy("step").agg(F.max(F.struct("max_txid", "level", "min_txid")).alias("f")).select("step", "f.level", "f.min_txid", "f.max_txid")
+        new = cut(best, "chain")
+        if new.isEmpty():
+            return got
+        got = cut(got.unionByName(new), "chain")
+        then = jump.alias("a").join(jump.alias("b"), F.col("a.to") == F.col("b.pos")).select("a.pos", "b.to")
+        jump, reach = cut(then, "jumps"), reach * 2
+
+
 def hops(catalog: DataFrame) -> DataFrame:
     """(pos, level, min_txid, max_txid): from 0 and each file's end, the file that reaches furthest among those that start by then.
 
