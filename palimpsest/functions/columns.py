@@ -64,3 +64,21 @@ def checkpoint_mode(frames: Column, passive: int = 1000, truncate: int = 121359)
 
 def live_frames(wal_offset: Column, page_size: Column) -> Column:
     return F.floor(F.greatest(wal_offset - 32, F.lit(0)) / (page_size + 24)).cast("long")
+
+
+def uvarint(x: Column) -> Column:
+    """A non-negative BIGINT as a variable-length integer, seven bits a byte, the lowest first."""
+    n = F.greatest(F.ceil(F.length(F.ltrim(F.bin(x), F.lit("0"))) / 7).cast("int"), F.lit(1))
+    each = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.lpad(F.hex(F.call_function("shiftright", x, 7 * i).bitwiseAND(F.lit(127)).bitwiseOR(F.when(i < n - 1, 128).otherwise(0)).cast("long")), 2, "0"))
+    return F.unhex(F.array_join(each, ""))
+
+
+def read_uvarint(data: Column) -> Column:
+    """The integer of such bytes."""
+    pairs = F.regexp_extract_all(F.hex(data), F.lit("(..)"))
+    each = F.transform(pairs, lambda p, i: F.call_function("shiftleft", F.conv(p, 16, 10).cast("long").bitwiseAND(F.lit(127)), 7 * i))
+    return F.aggregate(each, F.lit(0).cast("long"), lambda a, b: a + b)
+
+
+def fully_checkpointed(busy: Column, log: Column, checkpointed: Column) -> Column:
+    return (busy == 0) & (log == checkpointed)
