@@ -11,10 +11,14 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[int, str] = {}
+#: Folders that ``cut`` wrote and nothing has deleted yet.
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,9 +39,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back with the same schema."""
+    """Write ``df`` to the shared folder and read it back with the same schema. What is left when the process ends is deleted then."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/palimpsest/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._palimpsest_path = path
@@ -48,6 +53,40 @@ def drop(df: DataFrame) -> None:
     """Delete what ``cut`` wrote for ``df``, once nothing reads it any more."""
     path = getattr(df, "_palimpsest_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        hpath = jvm.org.apache.hadoop.fs.Path(path)
-        hpath.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(hpath, True)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(hpath, True)
+    if path in _written:
+        _written.remove(path)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes all that ``cut`` writes within, but for the DataFrames given to what it yields (which returns them)."""
+    before, kept = set(_written), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(getattr(df, "_palimpsest_path", None))
+        return df
+
+    yield keep
+    for path in [p for p in _written if p not in before and p not in kept]:
+        _delete(spark, path)
+
+
+def _sweep() -> None:
+    spark = SparkSession.getActiveSession()
+    for path in list(_written):
+        try:
+            if spark is not None:
+                _delete(spark, path)
+            elif path.startswith("file:"):
+                shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+        except Exception:  # noqa: BLE001  the JVM may be gone before this process
+            spark = None
+
+
+atexit.register(_sweep)
