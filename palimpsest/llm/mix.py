@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..staging import cut, drop
+from ..staging import cut, drop, scope
 from ..tables import table
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -121,10 +121,9 @@ def mixed(docs: DataFrame) -> DataFrame:
     Null texts have no words and are never taken; a null source is a source of its own, the last. Repeated rows on the boundary
     share its words evenly, rounded down. Reruns agree.
     """
-    slim = cut(measured(docs).select("doc_id", "source", "size", "key_"), "sizes")
-    sources = cut(plan(slim), "sources")
     wide = docs.select(F.struct(*docs.columns).alias("row_"), "doc_id", "source", "text")
-    got = taken(measured(wide), sources)
+    sized, sources = _planned(measured(wide).select("row_", "doc_id", "source", "size", "key_"))
+    got = taken(sized, sources).withColumn("text", F.col("row_.text"))
     copies = F.col("epochs") + (F.col("part") > 0).cast("long")
     got = got.withColumn("copy_", F.explode_outer(F.when((copies > 0) & (F.col("size") > 0), F.sequence(F.lit(1).cast("long"), copies)))).where("copy_ is not null")
     cut_ = (F.col("copy_") > F.col("epochs")) & (F.col("part") < F.col("size"))
@@ -136,9 +135,16 @@ def mixed(docs: DataFrame) -> DataFrame:
     return got.select(*(own.get(c, F.col(f"row_.`{c}`")).alias(c) for c in docs.columns))
 
 
+def _planned(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``sized``, its ``plan``), both written; what the plan needed on the way is deleted."""
+    with scope(sized.sparkSession) as keep:
+        sized = keep(cut(sized, "sizes"))
+        return sized, keep(cut(plan(sized.select("doc_id", "source", "size", "key_")), "sources"))
+
+
 def op4_mix(spark, sf_dir: str) -> DataFrame:
-    slim = cut(measured(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", "size", "key_"), "sizes")
-    return taken(slim, cut(plan(slim), "sources")).select("doc_id", "size", "source_size", "target", "taken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return taken(*_planned(measured(docs).select("doc_id", "source", "size", "key_"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES = {"op4_mix": op4_mix}

@@ -30,7 +30,8 @@ KEEP_AT = 0.5
 def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper, n_stop, n_shout (words that end in "!"), n_bar.
 
-    Nulls count as empty text. Repeats are found by the words' hashes, sorted: time n log n in a text's own length.
+    Nulls count as empty text. Repeats are found by the words' hashes, sorted: time n log n in a text's own length. Columns of these
+    names are replaced, and those named w_, lines_, h_, x2_, x_, s_, p_ and repeats_ are lost.
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
     words = F.filter(F.split(t, "[ \\t-\\r]+"), lambda w: w != "")
@@ -102,14 +103,14 @@ def judged(feats: DataFrame, model: weak.Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that are kept, with their own columns. Texts are read twice and never shuffled.
+    """Rows of ``docs`` that are kept, with their own columns, whatever their names. Texts are read once and never shuffled.
 
-    Null and empty texts have no words and go. Repeated rows are judged alike.
+    Null and empty texts have no words and go. Repeated rows are judged alike. The features are written beside the rows, so the
+    sums over vote patterns read only them.
     """
-    slim = features(docs.select(F.col("text").alias("text_")), "text_")
-    model = fit(slim.drop("text_"))
     wide = docs.select(F.struct(*docs.columns).alias("row_"), F.col("text").alias("text_"))
-    return held(judged(features(wide, "text_"), model), F.col("kept")).select("row_.*")
+    feats = cut(features(wide, "text_").drop("text_"), "quality")
+    return held(judged(feats, fit(feats)), F.col("kept")).select("row_.*")
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

@@ -20,11 +20,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from ..staging import cut, drop
+from ..staging import cut, drop, scope
 from ..tables import table
 from .components import connected
 
@@ -171,6 +171,16 @@ def links(fps: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
         keys = [(s, q) for s, m in keys for q in quarters(m)]
 
 
+def _labelled(fps: DataFrame, max_bucket: int) -> DataFrame:
+    """(fp, root, component_id) of every fingerprint of ``fps`` (doc_id, fp); what it needed on the way is deleted."""
+    with scope(fps.sparkSession) as keep:
+        first = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "first")
+        roots = connected(links(first.select("fp"), max_bucket))
+        labelled = first.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+        least = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
+        return keep(cut(labelled.join(least, "root").select("fp", "root", "component_id"), "labelled"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bucket: int = MAX_BUCKET) -> DataFrame:
     """One row per input row: id, ``fp`` (signed long), ``fingerprint`` (16 hex digits), ``root`` (a fingerprint of the component) and ``component_id``.
 
@@ -178,24 +188,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component's id unless it has no other (then null). Repeated rows and ids give one result row each. Other columns are not read.
     """
     fps = cut(docs.select(F.col(id_col).alias("doc_id"), fingerprint_udf(F.col(text_col)).alias("fp")), "fps")
-    first = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "first")
-    edges = links(first.select("fp"), max_bucket)
-    roots = connected(edges)
-    labelled = first.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_fp = labelled.join(least, "root").select("fp", "root", "component_id")
-    out = fps.join(of_fp, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "root", "component_id")
+    out = fps.join(_labelled(fps, max_bucket), "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "root", "component_id")
     return out.withColumnRenamed("doc_id", id_col)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Of each component the row with the smallest doc_id, with all its columns. Of equal ids one row stays; ids that are null come last."""
-    top = -(2**63)
-    found = near_duplicates(docs).withColumn("id_", F.coalesce("doc_id", F.lit(top)))
-    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min_by("id_", "fp").alias("id_"), F.min("fp").alias("fp_"))
-    marked = docs.withColumns({"id_": F.coalesce("doc_id", F.lit(top)), "fp_": fingerprint_udf.asNondeterministic()("text")})  # else the join would have the UDF run for a filter too
-    one = Window.partitionBy("id_", "fp_").orderBy(*(F.col(c) for c in docs.columns if c != "doc_id"))
-    return marked.join(chosen.select("id_", "fp_"), ["id_", "fp_"], "left_semi").withColumn("nth_", F.row_number().over(one)).where("nth_ = 1").select(*docs.columns)
+    """Of each component the row with the smallest doc_id, with all its columns, whatever their names.
+
+    Ids that are null come last. Of equal ids the row with the smallest fingerprint and then hash of all columns stays; of rows equal
+    in all of that any one. Fingerprints are written beside the rows, so a text is hashed once; the choice shuffles only ids and
+    fingerprints, and the rows are shuffled once, to be met by the numbers of those that stay.
+    """
+    marked = docs.select(F.struct(*docs.columns).alias("row_"), F.col("doc_id").alias("doc_id"), fingerprint_udf("text").alias("fp"), F.xxhash64(*docs.columns).alias("hash"), F.monotonically_increasing_id().alias("number"))
+    marked = cut(marked, "marked")
+    slim = marked.select("doc_id", "fp", "hash", "number")
+    found = slim.join(_labelled(slim.select("doc_id", "fp"), MAX_BUCKET).select("fp", "root"), "fp")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "hash", "number")
+    stay = found.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.number").alias("number"))
+    return marked.join(stay, "number", "left_semi").select("row_.*")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
