@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm import mix, packing, pii, quality, simhash
-from palimpsest.staging import cut
+from palimpsest.staging import cut, drop, scope
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -41,7 +41,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of ``documents``. A stage's own tables, and its predecessor's rows, are deleted once its rows are written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        with scope(spark) as keep:
+            new = keep(cut(stage(spark, docs, sf_dir), name))
+        drop(docs)
+        docs = new
     return STAGES[-1][1](spark, docs, sf_dir)
