@@ -138,7 +138,7 @@ def test_others_take_anything(spark, docs):
     assert licenses.licensed(docs).where("size(notices) > 0").count() == 1
     labels = spark.createDataFrame([(4, 1), (6, 0), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fitted(docs, labels)
-    assert toxicity.scored(docs.drop("score"), model).where("score between 0 and 1").count() == docs.count()
+    assert toxicity.scored(docs, model).where("score between 0 and 1").count() == docs.count()
     for out in (simhash.near_duplicates(empty), quality.keep_good(empty), pii.redacted(empty), mix.mixed(empty), packing.packed(empty), media.stored(empty), licenses.licensed(empty)):
         assert out.count() == 0
 
