@@ -35,6 +35,7 @@ WINDOW, LONGEST_WORD = 12, 64
 MER = 6
 #: What a 6-mer's z-score must reach, to choose from, and gains of a window.
 TELLING, GAINS = (4.0, 5.0, 6.0, 8.0), (1, 2, 3, 4)
+FEWEST = 24
 TOXIC_BYTES, ORDINARY_BYTES = 1024, 60_000
 #: Documents of each half that calibrate, by class.
 CALIBRATE = (150, 450)
@@ -120,7 +121,10 @@ def _mers(texts: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def telling(toxic: list[str], ordinary: list[str]) -> dict[bytes, float]:
-    """z-score of the log-ratio of document frequencies of each 6-mer of the toxic texts, from the least of ``TELLING`` on."""
+    """z-score of the log-ratio of document frequencies of each 6-mer of the toxic texts, from the least of ``TELLING`` on.
+
+    Few texts can't give such scores; where none reaches it, those near the greatest are taken.
+    """
     a, in_a, n_a = _mers(toxic)
     b, in_b, n_b = _mers(ordinary)
     other = np.zeros(len(a))
@@ -129,7 +133,8 @@ def telling(toxic: list[str], ordinary: list[str]) -> dict[bytes, float]:
         other = np.where(b[at] == a, in_b[at], 0)
     x, y = in_a + 0.5, other + 0.5 * (n_b + 1) / (n_a + 1)
     z = (np.log(x / (n_a + 1)) - np.log(y / (n_b + 1))) / np.sqrt(1 / x + 1 / y)
-    keep = z >= min(TELLING)
+    keep = z >= min(*TELLING, 0.8 * z.max(initial=0.0))
+    keep &= z > 0
     return {int(m).to_bytes(MER, "big"): float(s) for m, s in zip(a[keep], z[keep], strict=True)}
 
 
@@ -160,10 +165,11 @@ def toxic_words(texts: list[str], mers: set[bytes]) -> list[bytes]:
 
 
 def dictionaries(toxic: list[str], ordinary: list[str], z: dict[bytes, float], least: float, base: bytes | None = None) -> tuple[bytes, bytes]:
-    """(toxic, ordinary) for one threshold; ``base`` is the ordinary one if it is there already."""
+    """(toxic, ordinary) for one threshold, which ``FEWEST`` 6-mers pass in any case; ``base`` is the ordinary one if it is there already."""
     if base is None:
         base = _trained([b" %b " % w for t in ordinary[:: max(1, len(ordinary) // 800)] for w in _words(t)], ORDINARY_BYTES, 16)
-    own = toxic_words(toxic, {m for m, s in z.items() if s >= least})
+    ranked = sorted(z, key=lambda m: (-z[m], m))
+    own = toxic_words(toxic, set(ranked[: max(FEWEST, sum(s >= least for s in z.values()))]))
     return (_trained(own, TOXIC_BYTES, 24) if own else b" " * TOXIC_BYTES), base
 
 

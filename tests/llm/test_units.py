@@ -61,9 +61,10 @@ def test_packing(seed):
 
 
 def test_license_scan():
-    for name, t in licenses.TEMPLATES.items():
-        assert name in [x[0] for x in licenses.scan(f"some words\n{t}\nand more")]
-        assert any(c in t.lower() for c in licenses.cues())
+    for t in licenses.templates():
+        text = " ".join(t.words)
+        assert t.name in [x[0] for x in licenses.scan(f"some words\n{text}\nand more")]
+        assert any(c in text for c in licenses.cues())
     text = "é x. Licensed under the Apache License, Version 2.0. y Released under the MIT License."
     assert [(n, text[s:e]) for n, _, s, e in licenses.scan(text)] == [("Apache-2.0", "Licensed under the Apache License, Version 2.0"), ("MIT", "Released under the MIT License")]
     assert licenses.scan(None) == [] == licenses.scan("the license of the version")
@@ -71,14 +72,13 @@ def test_license_scan():
     assert [a[i] for i, _ in licenses.patience(a, b)] == list("abcdefg")
 
 
-@pytest.mark.parametrize("name", licenses.TEMPLATES)
-def test_license_scan_of_joined_notices(name):
-    t = licenses.TEMPLATES[name]
-    n = len(t.split())
+@pytest.mark.parametrize("nth", range(len(licenses.TEXTS)))
+def test_license_scan_of_joined_notices(nth):
+    name, t, *_ = licenses.TEXTS[nth]
     for gap in (" ", " x ", " x y "):
         for times in (2, 3, 5):
             found = licenses.scan(gap.join([t] * times))
-            assert [x[0] for x in found] == [name] * times and all(x[1] == 1 for x in found), (n, gap, found)
+            assert [x[0] for x in found] == [name] * times and all(x[1] == 1 for x in found), (gap, found)
 
 
 PAGE = """<html><head><title>t</title><script>var a="</p><p>no</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href=x>Home</a><li><a href=y>About</a></ul></nav>
