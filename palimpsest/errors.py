@@ -9,6 +9,42 @@ class FormatError(PalimpsestError):
     """Bytes that are not what their format says."""
 
 
+class Truncated(FormatError):
+    """Fewer bytes than the part needs."""
+
+
+class BadMagic(FormatError):
+    pass
+
+
+class BadVersion(FormatError):
+    pass
+
+
+class BadPageSize(FormatError):
+    """No power of two from 512 to 65536, or not the one that the other files have."""
+
+
+class BadTxidRange(FormatError):
+    pass
+
+
+class BadPageNumber(FormatError):
+    """Zero, the lock page, or beyond the database's size."""
+
+
+class BadIndex(FormatError):
+    pass
+
+
+class BadVarint(BadIndex):
+    pass
+
+
+class BadCompression(FormatError):
+    pass
+
+
 class ChecksumMismatch(FormatError):
     pass
 

@@ -4,6 +4,7 @@ import sqlite3
 
 import pytest
 
+from palimpsest import errors
 from palimpsest.errors import ChecksumMismatch, FormatError, NotContiguous, PageOutOfOrder, UnalignedOffset
 from palimpsest.functions import checksums as cs
 from palimpsest.sources import formats as fmt
@@ -119,3 +120,32 @@ def test_damage_in_the_middle_ends_the_prefix(wal_db):
         bad[32 + at * h.frame_size + 100] ^= 1
         ok = [f.ok for f in fmt.wal_frames_from(bytes(bad), 32)]
         assert ok.index(False) == at
+
+
+def test_failures_have_types():
+    header = fmt.LtxHeader(0, 512, 3, 1, 1, 0)
+    whole = fmt.write_snapshot(bytes(3 * 512), 512, 1, 0)
+    wal = fmt.write_wal([(1, 1, bytes(512))], 512, (1, 2))
+    cases = [
+        (errors.Truncated, lambda: fmt.wal_header(b"x")),
+        (errors.Truncated, lambda: fmt.ltx_header(b"x")),
+        (errors.BadMagic, lambda: fmt.wal_header(bytes(32))),
+        (errors.BadMagic, lambda: fmt.ltx_header(bytes(100))),
+        (errors.BadVersion, lambda: fmt.wal_header(wal[:4] + bytes(28))),
+        (errors.BadPageSize, lambda: fmt.wal_header(wal[:8] + bytes(24))),
+        (errors.ChecksumMismatch, lambda: fmt.wal_header(wal[:31] + b"?")),
+        (errors.BadPageSize, lambda: fmt.write_ltx(header, [(1, b"short")])),
+        (errors.BadTxidRange, lambda: fmt.LtxHeader(0, 512, 1, 5, 4, 0).validate()),
+        (errors.BadPageNumber, lambda: fmt.write_ltx(fmt.LtxHeader(0, 512, 3, 2, 2, 0), [(4, bytes(512))])),
+        (errors.PageOutOfOrder, lambda: fmt.write_ltx(header, [(2, bytes(512))])),
+        (errors.BadVarint, lambda: fmt.page_index(b"\x80")),
+        (errors.BadIndex, lambda: fmt.index_range(b"\xff" * 24, 200)),
+        (errors.BadPageNumber, lambda: fmt.page_frame(bytes(6), 512)),
+        (errors.BadCompression, lambda: fmt.page_frame(b"\0\0\0\1\0\0junk", 512)),
+        (errors.ChecksumMismatch, lambda: fmt.read_ltx(whole[:-1] + bytes([whole[-1] ^ 1]))),
+        (errors.ChecksumMismatch, lambda: fmt.verify_ltx(*fmt.in_memory(whole[:-1] + bytes([whole[-1] ^ 1])))),
+    ]
+    for kind, f in cases:
+        with pytest.raises(kind):
+            f()
+    assert fmt.verify_ltx(*fmt.in_memory(whole)).commit == 3
