@@ -116,8 +116,8 @@ def test_columns(spark):
 
 
 def test_whole_queries_reach_the_last_event(spark):
-    folder = "/root/testdata/sf0.1"  # the fixed bounds of newest_first and ltx_files lie below its last events
+    folder = "/root/testdata/sf0.1"
     last = spark.read.parquet(f"{folder}/events.parquet").agg({"event_id": "max"}).first()[0]
-    assert queries.QUERIES["newest_first_whole"](spark, folder).agg({"event_id": "max"}).first()[0] == last
-    files = queries.QUERIES["ltx_files_whole"](spark, folder).selectExpr("max(cast(data as bigint))", "min(min_txid)", "max(max_txid)").first()
+    assert queries.QUERIES["newest_first"](spark, folder).agg({"event_id": "max"}).first()[0] == last
+    files = queries.QUERIES["ltx_files"](spark, folder).selectExpr("max(cast(data as bigint))", "min(min_txid)", "max(max_txid)").first()
     assert tuple(files) == (last, 1, last + 1)
