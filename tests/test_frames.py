@@ -8,6 +8,7 @@ from palimpsest.functions import checksums as cs
 from palimpsest.functions import columns as C
 from palimpsest.operators import frames, retention, versions
 from palimpsest.plans import queries
+from palimpsest.plans import stored  # noqa: F401  adds its queries
 from palimpsest.sources import datasources, formats as fmt
 from palimpsest.sources.store import Store
 from palimpsest.streaming.ship import ship_wal
