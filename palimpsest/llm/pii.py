@@ -173,10 +173,10 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Null counts as empty text. Give it few columns: names that end in an underscore are its own.
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.withColumns({"at_": F.contains(t, F.lit("@")), "digit_": t.rlike("[0-9]"), "long_": t.rlike(f"{_KEY}{{24}}")})
-    marks = F.col("digit_") | t.rlike(r"(?i)[\[({]\x20?at\x20?[\])}]")
+    df = docs.withColumns({"at_": F.contains(t, F.lit("@")), "digit_": t.rlike("[0-9]"), "marks_": t.rlike(r"[\[({]\x20?(?:at|AT)\x20?[\])}]")})
+    df = df.withColumn("long_", F.col("digit_") & t.rlike(f"(?<!{_KEY}){_KEY}{{24}}"))
     found = {f"m_{k}_": (PATTERNS[k], F.col("at_") if k == "email" else F.col("digit_")) for k in BASE}
-    found |= {f"x_{k}_": (p, marks if k == "email" else F.col("long_") & F.col("digit_") if k == "secret" else F.col("digit_")) for k, p in EXTRA.items()}
+    found |= {f"x_{k}_": (p, F.col("marks_") if k == "email" else F.col("long_") if k == "secret" else F.col("digit_")) for k, p in EXTRA.items()}
     df = matches(df, t, found)
 
     def as_span(kind: str, base: bool):
@@ -197,7 +197,7 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     base = F.concat(*(F.transform(F.filter(f"m_{k}_", valid(k)), as_span(k, True)) for k in BASE))
     more = F.concat(F.transform(F.filter("m_card_", failed), as_span("card", False)), *(F.transform(F.filter(f"x_{k}_", further(k)), as_span(k, False)) for k in EXTRA))
-    df = df.withColumns({"base_": base, "more_": more}).drop("at_", "digit_", "long_", *found)
+    df = df.withColumns({"base_": base, "more_": more}).drop("at_", "digit_", "long_", "marks_", *found)
     return _clear_of_base(df)
 
 
