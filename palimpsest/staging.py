@@ -43,7 +43,7 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/palimpsest/{label}-{uuid.uuid4().hex}"
     _written.append(path)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # rows of text take half the disk of the default
     back = spark.read.schema(df.schema).parquet(path)
     back._palimpsest_path = path
     return back
