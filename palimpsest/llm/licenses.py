@@ -157,8 +157,9 @@ def _by_key() -> dict[str, list[Template]]:
 
 
 def cues() -> list[str]:
-    """Words of which every text with a notice has one."""
-    return sorted(_by_key())
+    """Strings of which every text with a notice has one in lower case: the templates' keys but for those that hold another."""
+    keys = _by_key()
+    return sorted(w for w in keys if not any(x in w for x in keys if x != w))
 
 
 def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
@@ -268,8 +269,10 @@ def licensed(docs: DataFrame, text_col: str = "text") -> DataFrame:
     replaced; all others pass through.
     """
     t = F.col(text_col)
-    cue = F.coalesce(t.rlike("(?iu)(?:" + "|".join(re.escape(w) for w in cues()) + ")"), F.lit(False))
-    return docs.withColumn("notices", scan_udf(F.when(cue, t).otherwise(F.lit(""))))
+    wide = docs.select(F.struct(*docs.columns).alias("row_"), t.alias("text_"), F.lower(t).alias("low_"))  # lowered once
+    cue = F.coalesce(functools.reduce(lambda a, b: a | b, (F.contains("low_", F.lit(w)) for w in cues())), F.lit(False))
+    found = wide.select("row_", scan_udf(F.when(cue, F.col("text_")).otherwise(F.lit(""))).alias("notices_"))
+    return found.select(*(F.col(f"row_.`{c}`").alias(c) for c in docs.columns if c != "notices"), F.col("notices_").alias("notices"))
 
 
 def op2_license(spark, sf_dir: str) -> DataFrame:
