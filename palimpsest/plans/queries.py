@@ -147,14 +147,14 @@ select step,level,min_txid,max_txid from r"""
 
 @query(_plan_sql("true"))
 def plan_restore(spark, sf_dir):
-    return restore.plan_frame(catalog(spark, sf_dir))
+    return restore.plan_frame(catalog(spark, sf_dir), or_none=True)
 
 
 @query(_plan_sql("not (level = 0 and created_at >= timestamp '2024-01-25' and created_at < timestamp '2024-01-26')"))
 def plan_restore_gap(spark, sf_dir):
     """A missing file ends the chain."""
     hole = (F.col("level") == 0) & (F.col("created_at") >= ntz("2024-01-25 00:00:00")) & (F.col("created_at") < ntz("2024-01-26 00:00:00"))
-    return restore.plan_frame(catalog(spark, sf_dir).where(~hole))
+    return restore.plan_frame(catalog(spark, sf_dir).where(~hole), or_none=True)
 
 
 _GAPS = "select min_txid,max_txid, (min_txid > prev_max+1 or max_txid <= prev_max) as broken from g where prev_max is not null"
@@ -264,8 +264,8 @@ def ops_cost(spark, sf_dir):
 
 @query(_plan_sql("max_txid <= 4000"))
 def plan_restore_txid(spark, sf_dir):
-    """The chain that restores transaction 4000 or the last before it that a file ends on; the catalog is filtered first."""
-    return restore.plan_frame(catalog(spark, sf_dir).where("max_txid <= 4000"))
+    """The chain that restores transaction 4000 or the last before it that a file ends on, no steps if none does; the catalog is filtered first."""
+    return restore.plan_frame(catalog(spark, sf_dir).where("max_txid <= 4000"), or_none=True)
 
 
 @query(_plan_sql("max_txid <= (select max(max_txid) from cat where created_at <= timestamp '2024-01-20 06:00:00')"))
@@ -273,7 +273,7 @@ def plan_restore_time(spark, sf_dir):
     """As of a time: the greatest transaction written by then, and the chain up to it."""
     cat = catalog(spark, sf_dir)
     top = tiers.reached(cat, ntz("2024-01-20 06:00:00"))
-    return restore.plan_frame(cat.join(F.broadcast(top), F.col("max_txid") <= F.col("reached")))  # top is one row
+    return restore.plan_frame(cat.join(F.broadcast(top), F.col("max_txid") <= F.col("reached")), or_none=True)  # top is one row
 
 
 @query(f"with {_CAT} select max(max_txid) as reached from cat where created_at <= timestamp '2024-01-10 12:00:00'")

@@ -46,13 +46,22 @@ def plan_to(files: Iterable[Step], txid: int) -> list[Step]:
 COLLECT = 200_000
 
 
-def plan_frame(catalog: DataFrame, collect: int = COLLECT) -> DataFrame:
-    """(step, level, min_txid, max_txid), by ``plan`` for catalogs of up to ``collect`` files and by ``followed`` for larger ones."""
+def plan_frame(catalog: DataFrame, collect: int = COLLECT, or_none: bool = False) -> DataFrame:
+    """(step, level, min_txid, max_txid), by ``plan`` for catalogs of up to ``collect`` files and by ``followed`` for larger ones.
+
+    A catalog where no file starts at transaction 1 is an error, or with ``or_none`` a plan without steps.
+    """
+    spark = catalog.sparkSession
     rows = catalog.select("level", "min_txid", "max_txid").limit(collect + 1).collect()
-    if len(rows) > collect:
-        return followed(hops(catalog))
-    steps = [(i + 1, *s) for i, s in enumerate(plan((r["level"], r["min_txid"], r["max_txid"]) for r in rows))]
-    return catalog.sparkSession.createDataFrame(steps, "step int, level int, min_txid long, max_txid long")
+    try:
+        if len(rows) > collect:
+            return followed(hops(catalog))
+        steps = [(i + 1, *s) for i, s in enumerate(plan((r["level"], r["min_txid"], r["max_txid"]) for r in rows))]
+    except NoSnapshot:
+        if not or_none:
+            raise
+        steps = []
+    return spark.createDataFrame(steps, "step int, level int, min_txid long, max_txid long")
 
 
 def followed(hops: DataFrame) -> DataFrame:
