@@ -17,7 +17,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[int, str] = {}
-#: Folders that ``cut`` wrote and nothing has deleted yet.
+#: Folders that ``cut`` or others wrote and nothing has deleted yet.
 _written: list[str] = []
 
 
@@ -38,6 +38,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[os.getpid()]}"
 
 
+def placed(path: str) -> str:
+    """``path``, a folder that something else than ``cut`` fills; deleted when the process ends."""
+    _written.append(path)
+    return path
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back with the same schema. What is left when the process ends is deleted then."""
     spark = df.sparkSession

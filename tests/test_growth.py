@@ -1,10 +1,15 @@
 """Queries over other tables than the driver's: larger ones, and such as leave nothing to find."""
 
+import tracemalloc
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.plans import queries
-from palimpsest.plans import stored  # noqa: F401  adds its queries
+from palimpsest.functions import checksums as cs
+from palimpsest.plans import queries, stored
+from palimpsest.sources import formats as fmt
+from palimpsest.sources import paths
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -34,3 +39,33 @@ def test_plans_without_a_first_file_have_no_steps(spark, tmp_path, name):
     assert (agrees(spark, copies(spark, tmp_path / "many", 6), name) == []) == (name == "plan_restore_txid")
     spark.read.parquet(f"{SMALL}/events.parquet").where("false").write.parquet(f"{tmp_path}/none/events.parquet")
     assert agrees(spark, str(tmp_path / "none"), name) == []
+
+
+def test_running_checksums_of_rows_together():
+    rng = np.random.default_rng(5)
+    for n, length, big in ((1, 8, False), (5, 24, True), (1000, 520, False), (1025, 64, True)):
+        rows, seed, want = rng.integers(0, 256, (n, length), np.uint8), (2**32 - 1, 7), []
+        for r in rows:
+            want.append(cs.wal_checksum_of(r.tobytes(), want[-1] if want else seed, big))
+        assert list(zip(*(x.tolist() for x in cs.wal_chain(rows, seed, big)), strict=True)) == want
+        ends = tuple(int(x[-1]) for x in cs.wal_chain(rows, (0, 0), big))
+        assert cs.wal_carry(ends, seed, n, length) == want[-1]
+
+
+def test_a_planted_wal_is_made_in_parts_and_never_held(spark, tmp_path, monkeypatch):
+    """The same bytes as one writer's, from ten parts; this process holds a small part of the file."""
+    monkeypatch.setattr(stored, "FRAMES_A_PART", 600)
+    folder = copies(spark, tmp_path, 6)
+    monkeypatch.setattr(paths, "PART", 1 << 16)
+    tracemalloc.start()
+    path = stored._wal(spark, folder, broken=True)
+    top = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    e = spark.read.parquet(f"{folder}/events.parquet").orderBy("event_id").collect()
+    rows = ((r["user_id"] + 1, 40 + r["event_id"] % 100 if r["event_type"] == "purchase" else 0, str(r["event_id"]).encode().ljust(512)) for r in e)
+    want = bytearray(fmt.write_wal(rows, 512, (6000, 3000)))
+    want[32 + 3000 * 536 + 535] ^= 1
+    with paths.open_read(path) as f:
+        assert f.read() == want
+    assert top < len(want) / 3
+    assert [x for x, _, _ in paths.listing(path.rpartition("/")[0], deep=True)] == [paths.resolve(path)[1]]
