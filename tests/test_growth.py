@@ -100,3 +100,10 @@ def test_shares_of_rows_by_id():
     shares = [[r[0] for r in share] for share in stored._shares(iter(batches), [2, 3, 8, 15, 25])]
     assert shares == [[0, 1], [2], [3, 4, 5, 6, 7], [8], [20, 21]]
     assert [b.num_rows for b in stored._batches(iter([]), "a long")] == []
+
+
+@pytest.mark.parametrize("name", sorted(q for q in queries.QUERIES if q.startswith("wal_") and q != "wal_checksums"))
+def test_queries_over_a_wal_of_many_parts(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(stored, "FRAMES_A_PART", 300)
+    monkeypatch.setattr(fmt, "write_wal", None)  # holds the file
+    assert agrees(spark, copies(spark, tmp_path, 2), name)
